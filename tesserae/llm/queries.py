@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, sharding, simhash, url_filter
+from . import embedding_dedup, language_id, mixing, packing, sharding, simhash, toxicity, url_filter
 
 #: Rules of op4 (action, host, path).
 URL_RULES = (
@@ -42,6 +42,32 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def held_out(id_col: str):
+    """Whether a document is held out of language training: crc32 of its id as text has remainder 1 by 3."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(~held_out("doc_id")))
+    return language_id.identify(docs, model).withColumn("held_out", held_out("doc_id"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_embedding_near_dedup,
             op3_mixing,
             op4_url_filter,
+            op5_language_id,
+            op6_packing,
+            op9_toxicity,
             op10_sharding,
         )
     }
