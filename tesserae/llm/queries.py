@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, packing, sharding, simhash, toxicity, url_filter
+from . import embedding_dedup, imatch, language_id, license_scan, mixing, packing, sharding, simhash, toxicity, url_filter
 
 #: Rules of op4 (action, host, path).
 URL_RULES = (
@@ -63,6 +63,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return imatch.edit_likeness(docs, imatch.lexicon(docs))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
@@ -82,11 +91,54 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_url_filter,
             op5_language_id,
             op6_packing,
+            op7_imatch_fingerprints,
+            op8_license_scan,
             op9_toxicity,
             op10_sharding,
         )
     }
 
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM p),
+o AS (
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+  WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+h AS (
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, regexp_replace(host, ':[0-9]*$', '') AS bare
+  FROM u LEFT JOIN o USING (page_id) GROUP BY host),
+hd AS (
+  SELECT host, n, k, regexp_extract(bare, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(bare, '[^.]*$') AS suffix FROM h),
+d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY domain),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+lv AS (SELECT 1 AS l, n, k FROM s UNION ALL SELECT 2, n, k FROM d UNION ALL SELECT 3, n, k FROM hd),
+m AS (
+  SELECT l, sum(n) AS sn, sum(k) AS sk, sum(n * n) AS sn2, sum(CASE WHEN n > 0 THEN k * k / n ELSE 0 END) AS q,
+         count(*) FILTER (n > 0) AS j FROM lv GROUP BY l),
+st AS (
+  SELECT l, sn, sk, CASE WHEN sn > 0 AND sn * sn > sn2 AND sk > 0 AND sk < sn THEN
+    greatest(2, least(1000, (sk / sn) * (1 - sk / sn) / greatest(1e-9,
+      (q - sk * sk / sn - (j - 1) * (sk / sn) * (1 - sk / sn)) / (sn - sn2 / sn)) - 1)) ELSE 1000 END AS s FROM m),
+g AS (
+  SELECT max(CASE WHEN l = 1 THEN s END) AS s1, max(CASE WHEN l = 2 THEN s END) AS s2, max(CASE WHEN l = 3 THEN s END) AS s3,
+         max(CASE WHEN l = 1 THEN CASE WHEN sn > 0 THEN (sk + 0.5) / (sn + 1) ELSE 0 END END) AS top FROM st),
+sm AS (SELECT suffix, (k + s1 * top) / (n + s1) AS mean FROM s, g),
+dm AS (SELECT domain, (k + s2 * mean) / (n + s2) AS mean FROM d JOIN sm USING (suffix), g),
+r AS (SELECT host, (k + s3 * mean) / (n + s3) AS share, n + s3 AS w FROM hd JOIN dm USING (domain), g),
+b AS (SELECT host, share - 1.645 * sqrt(share * (1 - share) / (w + 1)) > 0.3 AS bad FROM r),
+t(k, action, rhost, rpath) AS (VALUES (1, 'allow', 'example.com', '/en/7'), (2, 'block', 'example.net', '/de/8'),
+  (3, 'block', 'com', '/en/'), (4, 'allow', 'net', '/de/'), (5, 'block', 'org', '/es/')),
+f AS (
+  SELECT page_id, host, path, (SELECT min(k) FROM t WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS k FROM u)
+SELECT page_id, host, path, rhost || rpath AS rule, coalesce(action, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM f JOIN b USING (host) LEFT JOIN t USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators rest on XXH64, floating-point models, tokenizers or scheduling, which SQL cannot express."""
+    return {"op4_url_filter": OP4_SQL, "op8_license_scan": license_scan.oracle_sql()}
