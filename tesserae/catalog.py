@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from .plans import relational, signals, tasks, temporal, textual  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
