@@ -326,8 +326,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of repeated rows with one id, one stays (the one with the smallest text hash)."""
     groups = near_duplicate_groups(docs, id_col, text_col, **how)
-    kept = docs.join(groups, F.col(id_col) == F.col("node"), "left_anti")
-    repeated = durable(docs.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__repeated")))
+    kept = docs.join(groups.select(F.col("node").alias("__copy")), F.col(id_col) == F.col("__copy"), "left_anti")
+    ids = docs.select(F.col(id_col).alias("__repeated")).where("__repeated is not null")
+    repeated = durable(ids.groupBy("__repeated").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__repeated"))
     if repeated.isEmpty():
         return kept
     w = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns if c != id_col]))
