@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 _PARAGRAPH, _INDENT = re.compile(r"\n\s*\n"), re.compile(r"\n(?=\s)")
 _SENTENCE = re.compile(r"[.!?]+\s+")
@@ -187,6 +188,6 @@ def html_text(html: str | None) -> str | None:
     return " ".join(piece.strip() for line in lines for piece in line.split("  ") if piece.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(K.StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(html_text, na_action="ignore")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 
 def _sum(x: Column, f) -> Column:
@@ -98,7 +99,7 @@ def frame_rms(x: np.ndarray, frame: int = 2048, hop: int = 512) -> np.ndarray:
     return np.sqrt(np.maximum(power[np.minimum(starts + frame, len(padded))] - power[starts], 0) / frame)
 
 
-@F.pandas_udf("struct<silence_ratio:double,centroid:double,rolloff:double,zero_crossings:double>")
+@F.pandas_udf(K.StructType([K.StructField(c, K.DoubleType()) for c in ("silence_ratio", "centroid", "rolloff", "zero_crossings")]))
 def spectral(x: pd.Series) -> pd.DataFrame:
     """Share of frames under -60 dB, spectral centroid and 85 % roll-off (in cycles a sample), zero-crossing rate."""
     out = []
@@ -116,7 +117,7 @@ def spectral(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["silence_ratio", "centroid", "rolloff", "zero_crossings"])
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(K.ArrayType(K.StructType([K.StructField(c, K.IntegerType()) for c in ("start", "end")])))
 def voiced_intervals(x: pd.Series) -> pd.Series:
     """Frames within 30 dB of the loudest, as intervals of samples."""
     out = []

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions.text import html_text
 
@@ -83,7 +84,7 @@ def _extract(kind: str, content: bytes) -> tuple[str | None, str | None]:
         return None, f"{type(e).__name__}: {e}"[:200]
 
 
-@F.pandas_udf("struct<text:string,error:string>")
+@F.pandas_udf(K.StructType([K.StructField("text", K.StringType()), K.StructField("error", K.StringType())]))
 def extract_text(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_extract(k, bytes(c or b"")) for k, c in zip(kind, content, strict=True)], columns=["text", "error"])
 
@@ -148,12 +149,12 @@ def wav_samples(content: bytes | None) -> tuple[int, list[float], list[float]]:
         return 0, [], []
 
 
-@F.pandas_udf("struct<rate:int,left:array<float>,right:array<float>>")
+@F.pandas_udf(K.StructType([K.StructField("rate", K.IntegerType()), *[K.StructField(c, K.ArrayType(K.FloatType())) for c in ("left", "right")]]))
 def decode_wav(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([wav_samples(None if c is None else bytes(c)) for c in content], columns=["rate", "left", "right"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(K.BinaryType())
 def encode_wav(left: pd.Series, right: pd.Series, rate: pd.Series) -> pd.Series:
     """16-bit PCM; samples are clamped to [-1, 1]."""
 
