@@ -5,10 +5,10 @@ inside a band. A document's distinct kept terms, sorted, are hashed: the whole s
 subsets. Subset (r, s) holds the terms whose r-th random number has s zero bits, so 1 in 2^s of the lexicon; documents of any
 length have subsets with one or a few of their terms, which survive edits elsewhere.
 
-A fingerprint is 4 hex digits for each of the 31 hashes, `....` for an empty subset. A text without any kept term gets `=`
-and the MD5 of the text instead. Likeness: 1 for equal fingerprints, else the largest share, over the subset sizes, of
+A fingerprint is 4 hex digits for each of the 31 hashes, `....` for an empty subset. A text none of whose terms lies in the band
+keeps all its terms; a text without terms gets `=` and the MD5 of the text instead. Likeness: 1 for equal fingerprints, else the largest share, over the subset sizes, of
 subsets that agree among those that are filled on either side (at least 3 are counted); 0 against a fingerprint without
-kept terms.
+terms.
 
 The lexicon is sent to all tasks as a set of 64-bit term hashes. Its size is bounded: a term inside the band is in at least
 N * exp(-idf_high) documents, so there are at most exp(idf_high) * (mean distinct terms a document) terms, whatever N.
@@ -47,11 +47,12 @@ def _short(h: Column) -> Column:
 
 
 def kept_terms(hashes: str, lex: list[int]) -> Column:
-    """Sorted distinct hashes inside the lexicon, for each array in the column `hashes` of arrays of term hashes."""
+    """Sorted distinct hashes inside the lexicon (all, where none is inside), for each array in the column `hashes`."""
     if not lex:
-        return F.transform(F.col(hashes), lambda h: F.array().cast("array<bigint>"))
+        return F.transform(F.col(hashes), lambda h: F.sort_array(h))
     among = ",".join("-9223372036854775808" if h == -(1 << 63) else str(h) for h in lex)
-    return F.expr(f"transform({hashes}, h -> sort_array(filter(h, x -> x IN ({among}))))")
+    kept = F.expr(f"transform({hashes}, h -> filter(h, x -> x IN ({among})))")
+    return F.zip_with(kept, F.col(hashes), lambda k, h: F.sort_array(F.when(F.size(k) > 0, k).otherwise(h)))
 
 
 def fingerprint_of(terms: Column, text: Column) -> Column:
