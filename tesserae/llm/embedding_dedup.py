@@ -9,6 +9,10 @@ nearer pairs are reached more often. What the visits meet is verified by the cos
 Cells are cut into chunks of at most `chunk` indexed vectors and `chunk` visitors, each pair of chunks being a task; links
 are counted there and passed on as sums and spanning forests, never as pairs. Equal vectors are compared once.
 
+Large groups of near copies are not compared pair by pair: pivots are found in the sample, and all vectors within half the
+linking angle of one pivot are linked with each other by the triangle inequality, so they only count their group's size.
+They are still compared with everything outside their group.
+
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing. Rows
 with a null id are compared too but have no component. Repeated rows stay and count as vectors of their own. An empty
 table gives an empty result. Other columns of the input (labels too) are ignored.
@@ -76,8 +80,22 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, radius: float) -> Iterator[tu
             heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
 
 
+def dense_pivots(sample: np.ndarray, inner: float, least: int = 10, size: int = 4000) -> np.ndarray:
+    """Vectors of the sample with `least` others of it within cosine `inner`, each group once, the largest first."""
+    u = sample[:size]
+    near = u @ u.T >= inner
+    counts, pivots = near.sum(axis=1), []
+    while len(counts) and counts.max() > least:
+        i = int(counts.argmax())
+        taken = near[i].copy()
+        pivots.append(u[i])
+        counts -= near[:, taken].sum(axis=1)
+        near[:, taken] = False
+    return np.array(pivots).reshape(-1, sample.shape[1])
+
+
 class MultiIndex:
-    """Codebooks of both halves and the calibrated radius."""
+    """Codebooks of both halves, the calibrated radius, and the pivots of dense groups."""
 
     def __init__(self, sample: np.ndarray, n_vectors: int, cosine: float, recall: float, cell_size: int, seed: int = 7):
         self.half = sample.shape[1] // 2
@@ -92,11 +110,21 @@ class MultiIndex:
         (_, b1), (_, b2) = self.borders(x)
         (c1, _), (c2, _) = self.borders(y)
         at = np.arange(len(x))
+        #: Cosine of half the linking angle, with room for rounding.
+        self.inner = np.sqrt((1 + cosine) / 2) + 1e-6
+        self.pivots = dense_pivots(sample, self.inner)
         self.radius = float(np.quantile(b1[at, c1] + b2[at, c2], recall)) + 1e-9
 
     def borders(self, x: np.ndarray):
         return border_distances(x[:, : self.half], self.books[0]), border_distances(x[:, self.half :], self.books[1])
 
+    def dense_group(self, x: np.ndarray) -> np.ndarray:
+        """The dense group of each row, or -1."""
+        if not len(self.pivots):
+            return np.full(len(x), -1)
+        near = x @ self.pivots.T
+        return np.where(near.max(axis=1) >= self.inner, near.argmax(axis=1), -1)
+
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
         """The cell of each row, and the cells it visits: its own and later ones (the pair's other end visits the earlier)."""
         (c1, b1), (c2, b2) = self.borders(x)
@@ -175,22 +203,38 @@ def _found(reps: DataFrame, index: MultiIndex, cosine: float, chunk: int) -> Dat
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cells, visits = index.visits(unit_rows(batch.column("v")))
+                x = unit_rows(batch.column("v"))
+                cells, visits = index.visits(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("copies"), batch.column("v"), pa.array(cells.astype(np.int64)), pa.array(visits, pa.list_(pa.int64()))],
-                    names=["node", "copies", "v", "cell", "visits"],
+                    [
+                        *(batch.column(c) for c in ("node", "copies", "v")),
+                        pa.array(cells.astype(np.int64)),
+                        pa.array(index.dense_group(x).astype(np.int32)),
+                        pa.array(visits, pa.list_(pa.int64())),
+                    ],
+                    names=["node", "copies", "v", "cell", "dense", "visits"],
                 )
 
     kind = reps.schema["v"].dataType.simpleString()
-    placed = durable(reps.select("node", "copies", "v").mapInArrow(visit, f"node long, copies long, v {kind}, cell long, visits array<long>"))
-    own = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n_own"))
-    guests = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_guests"))
-    parts = F.broadcast(  # at most 256 x 256 rows
-        durable(own.join(guests, "cell").select("cell", F.ceil(F.col("n_own") / chunk).cast("int").alias("p"), F.ceil(F.col("n_guests") / chunk).cast("int").alias("q")))
+    placed = durable(reps.select("node", "copies", "v").mapInArrow(visit, f"node long, copies long, v {kind}, cell long, dense int, visits array<long>"))
+    # visitors of each part of a cell: all of the cell's, but for those of the part's own dense group
+    own = placed.groupBy("cell", "dense").agg(F.count(F.lit(1)).alias("n_own"))
+    guests = durable(placed.select(F.explode("visits").alias("cell"), F.col("dense").alias("from")).groupBy("cell", "from").agg(F.count(F.lit(1)).alias("n")))
+    every = guests.groupBy("cell").agg(F.sum("n").alias("n_all"))
+    kin = guests.where(F.col("from") >= 0).withColumnRenamed("from", "dense")
+    sized = own.join(every, "cell").join(kin, ["cell", "dense"], "left").withColumn("n_guests", F.col("n_all") - F.coalesce("n", F.lit(0)))
+    parts = F.broadcast(  # at most 256 x 256 cells times the dense groups that each holds
+        durable(
+            sized.where("n_guests > 0").select(
+                "cell", F.col("dense").alias("part"), F.ceil(F.col("n_own") / chunk).cast("int").alias("p"), F.ceil(F.col("n_guests") / chunk).cast("int").alias("q")
+            )
+        )
     )
-    host = placed.select("node", "copies", "v", "cell", F.lit(True).alias("host"), F.col("cell").alias("home")).join(parts, "cell")
+    host = placed.select("node", "copies", "v", "cell", "dense", F.lit(True).alias("host"), F.col("cell").alias("home"))
+    host = host.join(parts.withColumnRenamed("part", "dense"), ["cell", "dense"]).withColumnRenamed("dense", "part")
     host = host.withColumn("pp", F.pmod(F.xxhash64("node"), F.col("p")).cast("int")).withColumn("qq", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    guest = placed.select("node", "copies", "v", F.explode("visits").alias("at"), F.lit(False).alias("host"), F.col("cell").alias("home")).withColumnRenamed("at", "cell").join(parts, "cell")
+    guest = placed.select("node", "copies", "v", F.explode("visits").alias("at"), "dense", F.lit(False).alias("host"), F.col("cell").alias("home"))
+    guest = guest.withColumnRenamed("at", "cell").join(parts, "cell").where((F.col("dense") < 0) | (F.col("dense") != F.col("part")))
     guest = guest.withColumn("qq", F.pmod(F.xxhash64("node"), F.col("q")).cast("int")).withColumn("pp", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -209,6 +253,11 @@ def _found(reps: DataFrame, index: MultiIndex, cosine: float, chunk: int) -> Dat
         keep = pa.array((n > 0) | (np.arange(len(node)) >= len(gi) + len(hi)))
         return pa.table({"node": node, "other": other, "n": n}).filter(keep)
 
-    names = ["node", "copies", "v", "cell", "home", "host", "pp", "qq"]
+    names = ["node", "copies", "v", "cell", "part", "home", "host", "pp", "qq"]
     both = host.select(*names).unionByName(guest.select(*names))
-    return durable(both.groupBy("cell", "pp", "qq").applyInArrow(compare, "node long, other long, n long"))
+    compared = both.groupBy("cell", "part", "pp", "qq").applyInArrow(compare, "node long, other long, n long")
+    groups = placed.where("dense >= 0").groupBy("dense").agg(F.sum("copies").alias("total"), F.min("node").alias("first"))
+    members = placed.where("dense >= 0").select("node", "copies", "dense").join(F.broadcast(groups), "dense")  # as many groups as pivots
+    inside = members.select("node", F.lit(None).cast("long").alias("other"), (F.col("total") - F.col("copies")).alias("n"))
+    ties = members.where("node <> first").select("node", F.col("first").alias("other"), F.lit(0).cast("long").alias("n"))
+    return durable(compared.unionByName(inside.where("n > 0")).unionByName(ties))

@@ -51,3 +51,20 @@ def test_multi_sequence_visits_in_order():
     sums = [a[i] + b[j] for i, j in cells]
     assert sums == sorted(sums)
     assert set(cells) == {(i, j) for i in range(7) for j in range(5) if a[i] + b[j] <= 1.1}
+
+
+def test_dense_groups_count_like_any_other(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((200, 24))
+    copies = [base[0] + rng.standard_normal(24) * 0.05 for _ in range(150)] + [base[1] + rng.standard_normal(24) * 0.05 for _ in range(60)]
+    fringe = [base[0] + rng.standard_normal(24) * 0.35 for _ in range(60)] + [base[0] * (1 - t) + base[1] * t for t in np.linspace(0, 1, 30)]
+    x = np.concatenate([base, copies, fringe]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert len(E.dense_pivots(u, np.sqrt(0.95) + 1e-6)) == 2
+    hits = u @ u.T >= 0.9
+    np.fill_diagonal(hits, False)
+    got = {r.vec_id: r for r in E.embedding_components(frame(spark, enumerate(x)), cell_size=40, chunk=16).collect()}
+    assert all(got[i].n_links <= hits[i].sum() for i in range(len(x)))
+    assert sum(got[i].n_links for i in range(len(x))) >= 0.99 * hits.sum()
+    root = brute([(int(a), int(b)) for a, b in zip(*np.nonzero(hits), strict=True)])
+    assert np.mean([got[i].component_id == root.get(i, i) for i in range(len(x))]) > 0.98
