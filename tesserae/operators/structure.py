@@ -97,3 +97,25 @@ def match_profile(detected: DataFrame, profile: DataFrame, id_col: str) -> DataF
     met = F.count("by_number").over(Window.partitionBy(id_col))
     enough = met >= F.greatest(F.lit(1), F.floor(F.max("sections").over(Window.partitionBy(id_col)) / 2))
     return joined.select(id_col, "pos", "number", F.when(enough, F.col("by_number")).otherwise(F.col("by_place")).alias("name"))
+
+
+def section_positions(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame, name: str) -> DataFrame:
+    """(id, name, pos): where each of a text's sections (id, name) first occurs in it; sections that do not occur are left out."""
+    s = sections.select(F.col(id_col).alias("__id"), F.col(name).alias("name"))
+    joined = s.join(docs.select(F.col(id_col), F.col(text_col).alias("__text")), F.col("__id") == F.col(id_col))
+    return joined.select(id_col, "name", F.instr("__text", F.col("name")).alias("p")).where("p > 0").select(id_col, "name", (F.col("p") - 1).alias("pos"))
+
+
+def section_blocks(positions: DataFrame, docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """(id, block, start_pos, end_pos, sections): whole sections packed greedily into blocks of at most `limit` characters (a
+    longer section is a block of its own); the first block starts at 0."""
+    from .ordered import fold_budget
+
+    lengths = docs.select(F.col(id_col).alias("__id"), F.length(text_col).alias("chars"))
+    w = Window.partitionBy(id_col).orderBy("pos")
+    spans = positions.join(lengths, F.col(id_col) == F.col("__id")).withColumn("end", F.coalesce(F.lead("pos").over(w), F.col("chars"))).withColumn("from", F.when(F.row_number().over(w) == 1, 0).otherwise(F.col("pos")))
+    listed = spans.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("from", "end", "name"))).alias("s"))
+    sizes = F.transform("s", lambda x: x["end"] - x["from"])
+    flat = listed.select(id_col, F.explode(F.arrays_zip(F.col("s"), fold_budget(sizes, limit).alias("block"))).alias("z"))
+    rows = flat.select(id_col, "z.block", "z.s.*")
+    return rows.groupBy(id_col, "block").agg(F.min("from").alias("start_pos"), F.max("end").alias("end_pos"), F.count(F.lit(1)).alias("sections"))

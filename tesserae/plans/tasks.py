@@ -96,3 +96,11 @@ def stream_daily_counts(spark, sf_dir):
 def stream_deduplicated(spark, sf_dir):
     got = S.run_to_table(S.deduplicated(S.read_stream(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "1 hour"))
     return got.select("event_id", "user_id", "event_type")
+
+
+@query("stream_correlated", """SELECT q.event_id, r.event_id AS reply_event_id FROM events q JOIN events r ON q.user_id = r.user_id AND q.event_type = 'click' AND r.event_type = 'purchase' AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 20 MINUTE""")
+def stream_correlated(spark, sf_dir):
+    """Clicks and the purchases of the same user within 20 minutes, as a stream-stream join."""
+    e = S.read_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    got = S.correlated(e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type"), "user_id")
+    return S.run_to_table(got).where("reply_event_id IS NOT NULL").select("event_id", "reply_event_id")

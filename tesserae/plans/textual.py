@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -182,3 +183,53 @@ def roman_ordinals(spark, sf_dir):
 def language_bullets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
     return d.select("source", X.bullet_list(F.col("langs")).alias("bullets"))
+
+
+@query(
+    "section_first_positions",
+    """SELECT doc_id, word AS name, strpos(text, word) - 1 AS pos FROM (SELECT doc_id, text, unnest(['the ', ' la ', ' der ', 'zzz']) AS word FROM documents) WHERE strpos(text, word) > 0""",
+)
+def section_first_positions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = d.select("doc_id", F.explode(F.array(*map(F.lit, ("the ", " la ", " der ", "zzz")))).alias("name"))
+    return structure.section_positions(d, "doc_id", "text", s, "name")
+
+
+@query(
+    "section_blocks",
+    """WITH RECURSIVE l AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
+       r AS (SELECT conv_id, i, n AS total, 0 AS block, CAST(e AS BIGINT) AS e, CAST(e - n AS BIGINT) AS s FROM l WHERE i = 1 UNION ALL
+             SELECT l.conv_id, l.i, CASE WHEN r.total + l.n > 2000 THEN l.n ELSE r.total + l.n END, CASE WHEN r.total + l.n > 2000 THEN r.block + 1 ELSE r.block END, CAST(l.e AS BIGINT), CAST(l.e - l.n AS BIGINT) FROM r JOIN l ON l.conv_id = r.conv_id AND l.i = r.i + 1)
+       SELECT conv_id, block, min(s) AS start_pos, max(e) AS end_pos, count(*) AS sections FROM r GROUP BY 1, 2""",
+)
+def section_blocks(spark, sf_dir):
+    """A conversation is one text whose sections are its turns; sections are packed whole."""
+    c = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "").alias("text"))
+    end = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    positions = c.select("conv_id", F.col("turn").cast("string").alias("name"), (end - F.length("text")).alias("pos"))
+    return structure.section_blocks(positions, texts, "conv_id", "text", 2000)
+
+
+@query("boundary_union", """SELECT doc_id, list_sort(list_distinct(list_concat([n_chars % 7, n_chars % 11], [n_chars % 5, n_chars % 7]))) AS marks FROM documents""")
+def boundary_union(spark, sf_dir):
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_union(F.array(n % 7, n % 11), F.array(n % 5, n % 7))).alias("marks"))
+
+
+@query("edge_headings", """SELECT source, list(doc_id ORDER BY doc_id)[:3] AS first_three, list(doc_id ORDER BY doc_id)[-2:] AS last_two FROM documents GROUP BY source""")
+def edge_headings(spark, sf_dir):
+    """The first and last few of each source. Bounded lists: ranked from both ends before they are gathered."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    w = Window.partitionBy("source")
+    up, down = F.row_number().over(w.orderBy("doc_id")), F.row_number().over(w.orderBy(F.desc("doc_id")))
+    first = d.withColumn("r", up).where("r <= 3").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("first_three"))
+    last = d.withColumn("r", down).where("r <= 2").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("last_two"))
+    return first.join(last, "source")
+
+
+@query("upload_status")
+def upload_status(spark, sf_dir):
+    """Pages as uploads: extracted text, or an error with its status."""
+    got = table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("t"))
+    return got.select("page_id", F.when(F.length("t") > 0, "upload_complete").otherwise("error").alias("status"))

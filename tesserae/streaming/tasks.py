@@ -94,6 +94,15 @@ def task_states(events: DataFrame) -> DataFrame:
     )
 
 
+def correlated(requests: DataFrame, replies: DataFrame, key: str, wait: str = "20 minutes") -> DataFrame:
+    """Requests (key, at, ..) with their replies (key, at, ..) that come within `wait`; a request without one comes out with
+    nulls once the watermark has passed its time."""
+    q = requests.withWatermark("at", wait).alias("q")
+    r = replies.select(F.col(key).alias("reply_key"), F.col("at").alias("reply_at"), *[F.col(c).alias(f"reply_{c}") for c in replies.columns if c not in (key, "at")]).withWatermark("reply_at", wait)
+    within = (F.col(key) == F.col("reply_key")) & (F.col("reply_at") >= F.col("at")) & (F.col("reply_at") <= F.col("at") + F.expr(f"INTERVAL {wait}"))
+    return q.join(r, within, "leftOuter")
+
+
 def work_queue(messages: DataFrame, process: Callable[[DataFrame], DataFrame], paused: Callable[[SparkSession], DataFrame], out: str, quarantine: str, key: str) -> None:
     """A worker: each micro-batch leaves paused collections for later (they are written to `quarantine` with a reason), runs
     the stage on the rest and appends its rows to `out`."""
