@@ -34,12 +34,33 @@ def test_ids_are_the_tokenizers(text):
 
 def test_ids_of_random_text():
     rnd, tokens, plain = random.Random(0), K.Tokens(tokenizer_path()), tokenizer()
-    letters = "ab cd\n.,'sé12 \t-ß\u00a0漢²"
+    letters = "ab cd\n.,'sé12 \t-ß\u00a0漢²\x1c\x85ªɏ¼\r\u00ad"
     for _ in range(400):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60)))
         assert tokens.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_the_documents(sf_dir):
+    import pyarrow.parquet as pq
+
+    tokens, plain = K.Tokens(tokenizer_path()), tokenizer()
+    assert tokens.fast
+    for text in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert tokens.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_go_through_the_library(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert K._ranks(file) and K._ranks({**file, "normalizer": {"type": "Lowercase"}}) is None
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    tokens = K.Tokens(str(tmp_path / "t.json"))
+    assert tokens.fast is None and tokens.ids("a b").tolist() == tokens.tokenizer.encode("a b", add_special_tokens=False).ids
+
+
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 4), max_size=6))
 @settings(max_examples=80, deadline=None)
 def test_each_bin_is_the_fullest_feasible(counts):
