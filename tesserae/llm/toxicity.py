@@ -1,10 +1,12 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
-Features are words that labelled texts show to be toxic or clean beyond chance: the `features` words with the largest
-z-score of their document frequency in toxic against clean texts (at least `min_z`, in at least `min_texts` different
-texts; equal texts count once). A text's feature values are log(1 + count) of each word and of all cue words together
-(cue words: in as many toxic as clean texts at least);
-weights keep the sign of their word's z-score and are drawn to the common cue weight by the ridge penalty. Grades: 0 clean; toxic labels are graded 1 to `grades` - 1 by the share of cue words in
+Features are words and beginnings of words (3 to 7 letters) that labelled texts show to be toxic or clean beyond chance: the
+`features` of the largest z-score of their document frequency in toxic against clean texts (at least `min_z`, in at least
+`min_texts` texts; texts of one label with the same smallest three-word shingle, so most near copies, count once). Cues are those in
+`min_share` of the toxic texts at least, that have a toxic label in `min_precision` of their texts. A text's feature values are
+log(1 + count) of each, and three of all its words with a cue: log(1 + count), presence, and number in a hundred words. Weights keep
+the sign of their feature's z-score; the ridge penalty draws them to the common weights.
+Grades: 0 clean; toxic labels are graded 1 to `grades` - 1 by the share of cue words in
 the text, cut at quantiles; so a toxic label without any cue stays at grade 1. The model is P(grade <= g) =
 logistic(t_g - w.x) with thresholds t_0 < t_1 < ... that share the weights w (ridge-penalised maximum likelihood); it
 gives the expected severity, the sum over g of P(grade > g).
@@ -31,23 +33,73 @@ from .common import durable
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
+#: Lengths of word beginnings.
+STEMS = range(3, 8)
+_KEPT = 300_000
+
+
 def words(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
+def features_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+class Lookup(dict):
+    """word -> (columns of its features, whether one is a cue), or None; remembers the words it has met."""
+
+    def __init__(self, vocabulary: dict[str, int], cue: np.ndarray):
+        super().__init__()
+        self.vocabulary, self.cue = vocabulary, cue
+
+    def __missing__(self, word: str) -> tuple[list[int], bool] | None:
+        if len(self) > _KEPT:
+            self.clear()
+        at = [self.vocabulary[f] for f in features_of(word) if f in self.vocabulary]
+        self[word] = found = (at, bool(self.cue[at].any())) if at else None
+        return found
+
+    def counts(self, text: str | None) -> tuple[Counter, int, int]:
+        """(number of each feature column, number of words with a cue, number of words)."""
+        all_ = words(text)
+        hits = [h for h in map(self.__getitem__, all_) if h]
+        return Counter(i for at, _ in hits for i in at), sum(c for _, c in hits), len(all_)
+
+    def __reduce__(self):
+        return Lookup, (self.vocabulary, self.cue)
+
+
+def _same_text(text):
+    """A key that near copies mostly share: the smallest hash of three words in a row (fewer words: of the text)."""
+    w = F.array(F.split(text, "\\s+"))
+    n = lambda x: F.greatest(F.size(x) - 2, F.lit(0))
+    part = lambda x, k: F.slice(x, F.lit(k), n(x))
+    rows = F.transform(w, lambda x: F.zip_with(F.zip_with(part(x, 1), part(x, 2), lambda a, b: F.xxhash64(a, b)), part(x, 3), lambda a, b: F.xxhash64(a, b)))[0]
+    return F.coalesce(F.array_min(rows), F.xxhash64(text))
+
+
+#: Number of features of all cue words together.
+COMMON = 3
+
+
+def common_features(cues: int, n_words: int) -> np.ndarray:
+    return np.array([np.log1p(cues), float(cues > 0), min(100 * cues / max(n_words, 1), 10.0)])
+
+
 class Severity:
-    """vocabulary: word -> column; cue: whether a column's word is toxic; weights (the last: all cue words); ascending thresholds."""
+    """vocabulary: word -> column; cue: whether a column's word is a cue; weights (the last: of all cue words); ascending thresholds."""
 
     def __init__(self, vocabulary: dict[str, int], cue: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
         self.vocabulary, self.cue, self.weights, self.thresholds = vocabulary, cue, weights, thresholds
+        self.lookup = Lookup(vocabulary, cue)
 
     def expected(self, text: str | None) -> float:
         """Expected grade; 0 if nothing was learned."""
         if not len(self.thresholds):
             return 0.0
-        counts = Counter(filter(self.vocabulary.__contains__, words(text)))
-        score = sum(self.weights[self.vocabulary[w]] * np.log1p(n) for w, n in counts.items())
-        score += self.weights[-1] * np.log1p(sum(n for w, n in counts.items() if self.cue[self.vocabulary[w]]))
+        counts, cues, n = self.lookup.counts(text)
+        score = sum(self.weights[i] * np.log1p(c) for i, c in counts.items()) + self.weights[-COMMON:] @ common_features(cues, n)
         return float((1 / (1 + np.exp(np.clip(self.thresholds - score, -60, 60)))).sum())
 
 
@@ -87,9 +139,11 @@ def learn(
     text_col: str = "text",
     label_col: str = "toxic",
     sample: int = 20_000,
-    features: int = 512,
-    min_z: float = 4.0,
+    features: int = 1024,
+    min_z: float = 5.0,
     min_texts: int = 5,
+    min_share: float = 0.02,
+    min_precision: float = 0.7,
     grades: int = 4,
 ) -> Severity:
     """docs: texts; labels: (id, 0/1)."""
@@ -100,13 +154,13 @@ def learn(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most about `sample` rows of two numbers: small enough for every executor
     rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("text", "toxic")
-    rows = rows.groupBy(F.xxhash64("text").alias("same"), F.length("text").alias("length")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    rows = rows.groupBy(_same_text(F.coalesce("text", F.lit(""))).alias("same"), (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.first("text").alias("text")).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                for w in {"", *words(text.as_py())}:
+                for w in {"", *(f for w in set(words(text.as_py())) for f in features_of(w))}:
                     seen.setdefault(w, [0, 0])[toxic.as_py() > 0] += 1
         if seen:
             yield pa.RecordBatch.from_arrays(
@@ -116,39 +170,41 @@ def learn(
     counts = durable(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     base = counts.where("word = ''").first()
     if base is None or not base.clean or not base.toxic:
-        return Severity({}, np.empty(0, bool), np.zeros(1), np.empty(0))
+        return Severity({}, np.empty(0, bool), np.zeros(COMMON), np.empty(0))
     p, q = F.col("toxic") / base.toxic, F.col("clean") / base.clean
     pooled = (F.col("toxic") + F.col("clean")) / (base.toxic + base.clean)
     z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / base.toxic + 1 / base.clean))
     top = counts.where("word <> ''").where(F.col("clean") + F.col("toxic") >= min_texts).withColumn("z", z).where(F.abs("z") >= min_z).orderBy(F.desc(F.abs("z")), "word").limit(features).collect()
-    vocabulary, cue = {r.word: i for i, r in enumerate(top)}, np.array([r.z > 0 and r.toxic >= r.clean for r in top], bool)
+    vocabulary, cue = {r.word: i for i, r in enumerate(top)}, np.array([r.z > 0 and r.toxic >= max(min_share * base.toxic, min_precision * (r.toxic + r.clean)) for r in top], bool)
+
+    lookup = Lookup(vocabulary, cue)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(Counter(w for w in all_ if w in vocabulary), len(all_)) for all_ in (words(t.as_py()) for t in batch.column(0))]
+            found = [lookup.counts(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([[vocabulary[w] for w in f] for f, _ in found], pa.list_(pa.int32())),
-                    pa.array([list(f.values()) for f, _ in found], pa.list_(pa.int32())),
-                    pa.array([n for _, n in found], pa.int64()),
+                    pa.array([list(f) for f, _, _ in found], pa.list_(pa.int32())),
+                    pa.array([list(f.values()) for f, _, _ in found], pa.list_(pa.int32())),
+                    pa.array([c for _, c, _ in found], pa.int64()),
+                    pa.array([n for _, _, n in found], pa.int64()),
                     batch.column(1),
                 ],
-                names=["at", "n", "words", "toxic"],
+                names=["at", "n", "cues", "words", "toxic"],
             )
 
-    data = rows.mapInArrow(encode, "at array<int>, n array<int>, words long, toxic int").toArrow().to_pylist()
-    x, y, share = np.zeros((len(data), len(top) + 1)), np.zeros(len(data), np.int64), np.zeros(len(data))
+    data = rows.mapInArrow(encode, "at array<int>, n array<int>, cues long, words long, toxic int").toArrow().to_pylist()
+    x, y, share = np.zeros((len(data), len(top) + COMMON)), np.zeros(len(data), np.int64), np.zeros(len(data))
     for i, r in enumerate(data):
         x[i, r["at"]] = np.log1p(r["n"])
         y[i] = r["toxic"] > 0
-        cues = sum(n for a, n in zip(r["at"], r["n"], strict=True) if cue[a])
-        x[i, -1], share[i] = np.log1p(cues), cues / max(r["words"], 1)
+        x[i, -COMMON:], share[i] = common_features(r["cues"], r["words"]), r["cues"] / max(r["words"], 1)
     cued = share[(y > 0) & (share > 0)]
     for cut in np.unique(np.quantile(cued, np.arange(1, grades - 1) / (grades - 1))) if len(cued) else ():
         y += (y > 0) & (share > cut)
     present = np.unique(y)
     y = np.searchsorted(present, y)  # grades without rows are left out
-    ridge, sign = np.append(np.full(len(top), 5.0), 0.1), np.append([1.0 if r.z > 0 else -1.0 for r in top], 1.0)
+    ridge, sign = np.append(np.full(len(top), 5.0), np.full(COMMON, 0.1)), np.append([1.0 if r.z > 0 else -1.0 for r in top], np.ones(COMMON))
     return Severity(vocabulary, cue, *fit_ordinal(x, y, len(present), ridge, sign))
 
 

@@ -59,3 +59,24 @@ def test_defined_results_without_labels_or_texts(spark):
     one_kind = T.learn(frame(spark, rows), spark.createDataFrame([(3, 1)], "doc_id long, toxic int"))
     assert one_kind.expected("vile") == 0.0
     assert T.score(frame(spark, []), model).collect() == [] and T.keep_clean(frame(spark, []), model).count() == 0
+
+
+def test_beginnings_of_words_are_cues(spark):
+    """Toxic words that share a beginning, each seen rarely, and a group of near copies of one toxic text."""
+    rows, labels = corpus(300)
+    rnd = random.Random(17)
+    end = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    clean = [(i, t) for (i, t), (_, y) in zip(rows, labels, strict=True) if not y]
+    extra = [(1000 + k, t + f" grim{end()} and grim{end()}") for k, (_, t) in enumerate(clean[:60])]
+    docs = frame(spark, [*clean, *extra])
+    model = T.learn(docs, spark.createDataFrame([*((i, 0) for i, _ in clean), *((i, 1) for i, _ in extra[:40])], "doc_id long, toxic int"))
+    assert "grim*" in model.vocabulary
+    assert all(model.expected(t) >= 0.5 for _, t in extra[40:])
+    assert np.mean([model.expected(t) < 0.5 for _, t in clean]) > 0.98
+
+
+def test_near_copies_share_a_key(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(0, text), (1, text + " end"), (2, "a b"), (3, ""), (4, "other words here")], "i int, t string")
+    key = {r[0]: r[1] for r in df.select("i", T._same_text(df.t)).collect()}
+    assert key[0] == key[1] and len(set(key.values())) == 4
