@@ -136,16 +136,17 @@ def _lanes(mask: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(raw, bitorder="little", count=n))
 
 
-def block_links(words: np.ndarray, sizes: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
+def block_links(words: np.ndarray, sizes: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words: the fingerprints of whole buckets one after another, sizes: the buckets' sizes.
 
-    Returns (root of each lane, pairs): lanes within `sure` bits are joined to one root, which stands for all links
-    among them; pairs beyond `sure` but within `radius` bits are listed unless both ends have one root.
+    Returns (root of each lane, tree, pairs): lanes within `sure` bits are joined to one root, which stands for all links
+    among them; tree lists the pairs that joined them. Pairs beyond `sure` but within `radius` bits are listed unless both
+    ends have one root.
     """
     n = len(words)
     root = np.arange(n)
     left = np.concatenate([np.arange(s, 0, -1) for s in sizes]) - 1  # lanes of the same bucket that follow
-    planes, maybe = BitPlanes(words, radius), []
+    planes, maybe, tree = BitPlanes(words, radius), [], []
     for shift in range(1, int(sizes.max())):
         active = int.from_bytes(np.packbits(left >= shift, bitorder="little").tobytes(), "little")
         near = planes.within(shift, active)
@@ -162,8 +163,9 @@ def block_links(words: np.ndarray, sizes: np.ndarray, radius: int, sure: int) ->
             x, y = root[a], root[b]
             if x != y:
                 root[root == max(x, y)] = min(x, y)
+                tree.append((a, b))
     pairs = np.concatenate(maybe, axis=1) if maybe else np.empty((2, 0), np.int64)
-    return root, pairs[:, root[pairs[0]] != root[pairs[1]]]
+    return root, np.array(tree, np.int64).reshape(-1, 2).T, pairs[:, root[pairs[0]] != root[pairs[1]]]
 
 
 def _compare(words: np.ndarray, ids: np.ndarray, bucket: np.ndarray, radius: int, sure: int, block: int) -> Iterator[tuple]:
@@ -180,10 +182,13 @@ def _compare(words: np.ndarray, ids: np.ndarray, bucket: np.ndarray, radius: int
         base = total[at] - sizes[at]
         end = max(at + 1, int(np.searchsorted(total, base + block, "right")))
         lanes = np.concatenate([np.arange(s, s + z) for s, z in zip(starts[at:end], sizes[at:end], strict=True)])
-        root, pairs = block_links(words[lanes], sizes[at:end], radius, sure)
+        root, tree, pairs = block_links(words[lanes], sizes[at:end], radius, sure)
         got = ids[lanes]
-        moved = root != np.arange(len(root))
-        yield got[moved], got[root[moved]], np.ones(int(moved.sum()), bool)
+        if sure < radius:  # links that are verified later have to be between the texts that were compared
+            yield got[tree[0]], got[tree[1]], np.ones(tree.shape[1], bool)
+        else:
+            moved = root != np.arange(len(root))
+            yield got[moved], got[root[moved]], np.ones(int(moved.sum()), bool)
         if pairs.shape[1]:
             yield got[pairs[0]], got[pairs[1]], np.zeros(pairs.shape[1], bool)
         at = end
@@ -280,9 +285,11 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(id, root) for each id that is not the smallest of its group of near copies.
 
-    Links: Jaccard similarity of the sets of `shingle`-word shingles >= `similarity`. Wide SimHashes find them: the
-    slices are as wide as the number of texts asks for, and as many as reach `recall` at exactly that similarity.
-    Fingerprints far inside the radius link at once; for the others between different groups the sets are compared.
+    Links: Jaccard similarity of the sets of `shingle`-word shingles >= `similarity`; every link is verified on the sets.
+    Equal sets are one text. Wide SimHashes of the distinct shingles find the others: the slices are as wide as the number
+    of texts asks for, and as many as reach `recall` at exactly that similarity. Links far inside the radius are verified
+    along a spanning forest, then the others between different groups. Where a link of the forest fails, all pairs
+    within the radius among the texts of its tree are verified.
     """
     share = _bit_difference(similarity)
     n = docs.count()
@@ -290,23 +297,66 @@ def near_duplicate_groups(
     n_slices = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** slice_bits))
     spread = math.sqrt(bits * share * (1 - share))
     radius, sure = round(bits * share + 3 * spread), round(bits * share - 1.5 * spread)
-    fps = durable(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, bits, slice_bits, n_slices))
-    reps = durable(fps.groupBy("fp").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
-    links = durable(candidate_links(reps, bits, slice_bits, radius, sure))
-    same = fps.join(reps.select("fp", F.col("id").alias("rep")), "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    certain = links.where("certain").select("a", "b").unionByName(same)
-    first = connected_components(certain)
-    named = lambda e, c: e.join(first, F.col(c) == F.col("node"), "left").withColumn(f"r{c}", F.coalesce("root", c)).drop("node", "root")
-    doubtful = durable(named(named(links.where("not certain").select("a", "b").distinct(), "a"), "b").where("ra <> rb"))
-    ids = doubtful.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    sets = durable(_shingle_sets(docs, id_col, text_col, shingle, ids))
-    similar = (
-        doubtful.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets = durable(_profiles(texts, shingle, bits, slice_bits, n_slices))
+    reps = durable(sets.groupBy("d1", "d2").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "keys")]))
+    same = sets.select("d1", "d2", F.col("id").alias("a")).join(reps.select("d1", "d2", F.col("id").alias("b")), ["d1", "d2"]).where("a <> b").select("a", "b")
+    long = reps.where("fp is not null").select("id", "fp", "keys")
+    links = durable(candidate_links(long, bits, slice_bits, radius, sure))
+    certain = links.where("certain and a <> b").select("a", "b").distinct()
+    verified = durable(_similar(texts, certain, shingle, similarity))
+    first = connected_components(verified.unionByName(same))
+    pairs = links.where("not certain").select("a", "b")
+    failed = durable(certain.join(verified, ["a", "b"], "left_anti"))
+    if not failed.isEmpty():
+        trees = connected_components(certain)
+        trees = durable(trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct()))
+        broken = failed.select(F.col("a").alias("node")).join(trees, "node").select("root").distinct()
+        again = trees.join(broken, "root", "left_semi").select(F.col("node").alias("id"))
+        pairs = pairs.unionByName(candidate_links(long.join(again, "id", "left_semi"), bits, slice_bits, radius, -1).select("a", "b"))
+    rest = durable(_apart(pairs.distinct(), first).select("a", "b"))
+    return connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(texts, rest, shingle, similarity)))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups."""
+    for c in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    return pairs.where("ra <> rb")
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; of repeated ids, any text's set counts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+    sets = durable(_shingle_sets(texts, "id", "text", shingle, ids))
+    return (
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        .where(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both")))
+        .where(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9)
+        .select("a", "b")
+        .distinct()
     )
-    return connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+
+
+def _profiles(texts: DataFrame, shingle: int, bits: int, slice_bits: int, n_slices: int) -> DataFrame:
+    """(id, d1, d2: digest of the shingle set, fp and keys: SimHash of the distinct shingles and its slices)."""
+    n_fp, n_all = bits // 64, max(bits, slice_bits * n_slices) + 63 >> 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                distinct = np.unique(shingle_hashes(text.as_py(), shingle))
+                digest = np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes()), np.int64)
+                w = simhash_words(distinct, n_all)
+                rows.append((digest[0], digest[1], w[:n_fp].view(np.int64), _slice_keys(w, slice_bits, n_slices)))
+            if rows:
+                d1, d2, fps, keys = zip(*rows, strict=True)
+                lists = lambda v: pa.array(v, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1), pa.array(d2), lists(fps), lists(keys)], names=["id", "d1", "d2", "fp", "keys"])
+
+    return texts.mapInArrow(run, "id long, d1 long, d2 long, fp array<long>, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, ids: DataFrame) -> DataFrame:
@@ -318,7 +368,7 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, ids
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     needed = narrow.join(ids, F.col("id") == F.col("need"), "left_semi")
-    return needed.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    return needed.mapInArrow(run, "id long, set array<long>").withColumn("d", F.xxhash64("set")).repartition("id").dropDuplicates(["id", "d"]).drop("d")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

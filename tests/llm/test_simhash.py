@@ -111,3 +111,32 @@ def test_near_copies_at_five_words(spark):
 
 def test_near_copies_of_an_empty_table(spark):
     assert S.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def near_groups(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.node: r.root for r in S.near_duplicate_groups(docs).collect()}
+
+
+def test_repeated_lines_do_not_link_different_texts(spark):
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    line = [word() for _ in range(24)]
+    texts = {i: " ".join(line * 30 + [word() for _ in range(200)]) for i in range(12)}
+    assert near_groups(spark, texts) == {}
+
+
+def test_links_far_inside_the_radius_are_verified(spark, monkeypatch):
+    rnd = random.Random(19)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for g in range(4):
+        base = [word() for _ in range(150)]
+        for k in range(5):
+            texts[10 * g + k] = " ".join([*base[: 150 - 6 * k], *[word() for _ in range(6 * k)]])
+    # all pairs within the radius count as certain, so the forest has links that fail
+    links = S.candidate_links
+    monkeypatch.setattr(S, "candidate_links", lambda f, b, s, radius, sure: links(f, b, s, radius, radius - 1 if sure > 0 else sure))
+    sets = {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    want = groups(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert near_groups(spark, texts) == {i: r for i, r in want.items() if i != r}
