@@ -27,6 +27,8 @@ from .components import connected_components
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _CHUNK = 65536
+#: Pairs with a text of at most so many distinct shingles are found exactly; SimHash recall is calibrated for longer ones.
+_SHORT = 64
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -286,25 +288,27 @@ def near_duplicate_groups(
     """(id, root) for each id that is not the smallest of its group of near copies.
 
     Links: Jaccard similarity of the sets of `shingle`-word shingles >= `similarity`; every link is verified on the sets.
-    Equal sets are one text. Wide SimHashes of the distinct shingles find the others: the slices are as wide as the number
-    of texts asks for, and as many as reach `recall` at exactly that similarity. Links far inside the radius are verified
-    along a spanning forest, then the others between different groups. Where a link of the forest fails, all pairs
-    within the radius among the texts of its tree are verified.
+    Equal sets are one text. Pairs with a text of at most 64 distinct shingles are found exactly, by a prefix join. Wide
+    SimHashes of the distinct shingles find the others: the slices are as wide as the number of texts asks for, and as
+    many as reach `recall` at exactly that similarity. Links far inside the radius are verified along a spanning forest
+    (of the prefix join, those to the smallest id of a shingle), then the others between different groups. Where a link
+    of the forest fails, all pairs within the radius among the texts of its tree are verified.
     """
-    share = _bit_difference(similarity)
+    share = 1.02 * _bit_difference(similarity)  # 2 %: pairs of 65 shingles differ that much more than pairs of many (majorities of few bits tie)
     n = docs.count()
     slice_bits = max(12, math.ceil(math.log2(max(n, 2))) - 4)
     n_slices = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** slice_bits))
     spread = math.sqrt(bits * share * (1 - share))
     radius, sure = round(bits * share + 3 * spread), round(bits * share - 1.5 * spread)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = durable(_profiles(texts, shingle, bits, slice_bits, n_slices))
-    reps = durable(sets.groupBy("d1", "d2").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "keys")]))
+    sets = durable(_profiles(texts, shingle, bits, slice_bits, n_slices, math.floor(_SHORT / similarity)))
+    reps = durable(sets.groupBy("d1", "d2").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "keys", "short")]))
     same = sets.select("d1", "d2", F.col("id").alias("a")).join(reps.select("d1", "d2", F.col("id").alias("b")), ["d1", "d2"]).where("a <> b").select("a", "b")
     long = reps.where("fp is not null").select("id", "fp", "keys")
     links = durable(candidate_links(long, bits, slice_bits, radius, sure))
     certain = links.where("certain and a <> b").select("a", "b").distinct()
-    verified = durable(_similar(texts, certain, shingle, similarity))
+    prefixes = durable(_prefixes(reps, similarity))
+    verified = durable(_similar(texts, certain.unionByName(_star_pairs(prefixes, similarity)).distinct(), shingle, similarity))
     first = connected_components(verified.unionByName(same))
     pairs = links.where("not certain").select("a", "b")
     failed = durable(certain.join(verified, ["a", "b"], "left_anti"))
@@ -314,10 +318,43 @@ def near_duplicate_groups(
         broken = failed.select(F.col("a").alias("node")).join(trees, "node").select("root").distinct()
         again = trees.join(broken, "root", "left_semi").select(F.col("node").alias("id"))
         pairs = pairs.unionByName(candidate_links(long.join(again, "id", "left_semi"), bits, slice_bits, radius, -1).select("a", "b"))
-    rest = durable(_apart(pairs.distinct(), first).select("a", "b"))
+    pairs = _apart(pairs.distinct(), first).select("a", "b").unionByName(_prefix_pairs(prefixes, first, similarity))
+    rest = durable(pairs.distinct())
     return connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(texts, rest, shingle, similarity)))
 
 
+def _prefixes(reps: DataFrame, similarity: float) -> DataFrame:
+    """(token, id, n) of texts with few shingles: of n shingles, rarest first, the n - ceil(similarity * n) + 1 first ones, of
+    which two texts that are similar enough share one. Tokens of a single text are left out."""
+    tokens = reps.where("short is not null").select("id", "d1", "d2", F.size("short").alias("n"), F.explode("short").alias("token"))
+    counts = durable(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    common = counts.where(F.col("c") > max(4, total // 200_000))  # at most 200,000; any order is exact
+    ranked = tokens.join(F.broadcast(common), "token", "left").groupBy("id", "d1", "d2", "n").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "token"))).alias("ranked")
+    )
+    length = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = durable(ranked.select("id", "n", F.explode(F.slice("ranked", F.lit(1), length)["token"]).alias("token")))
+    return prefix.join(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1").drop("c"), "token")
+
+
+def _like_sizes(n: str, m: str, similarity: float) -> str:
+    return f"{n} >= {similarity!r}D * {m} - 1e-9D AND {m} >= {similarity!r}D * {n} - 1e-9D"
+
+
+def _star_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Each text with the smallest id that has the same token."""
+    likely = prefixes.where("id <> least.id AND " + _like_sizes("n", "least.n", similarity))
+    return likely.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _prefix_pairs(prefixes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """All pairs with a common token whose ends are in different groups."""
+    rows = durable(prefixes.join(groups, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("r")))
+    other = rows.select(F.col("token").alias("u"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("r").alias("q"))
+    return rows.join(other, F.expr("token = u AND id < b AND r <> q AND " + _like_sizes("n", "m", similarity))).select(F.col("id").alias("a"), "b").distinct()
+
+
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends are in different groups."""
     for c in ("a", "b"):
@@ -339,8 +376,9 @@ def _similar(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float
     )
 
 
-def _profiles(texts: DataFrame, shingle: int, bits: int, slice_bits: int, n_slices: int) -> DataFrame:
-    """(id, d1, d2: digest of the shingle set, fp and keys: SimHash of the distinct shingles and its slices)."""
+def _profiles(texts: DataFrame, shingle: int, bits: int, slice_bits: int, n_slices: int, few: int) -> DataFrame:
+    """(id, d1, d2: digest of the shingle set, fp and keys: SimHash of more than _SHORT distinct shingles and its slices,
+    short: the set if of at most `few` shingles)."""
     n_fp, n_all = bits // 64, max(bits, slice_bits * n_slices) + 63 >> 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,14 +387,17 @@ def _profiles(texts: DataFrame, shingle: int, bits: int, slice_bits: int, n_slic
             for text in batch.column(1):
                 distinct = np.unique(shingle_hashes(text.as_py(), shingle))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes()), np.int64)
-                w = simhash_words(distinct, n_all)
-                rows.append((digest[0], digest[1], w[:n_fp].view(np.int64), _slice_keys(w, slice_bits, n_slices)))
+                fp = keys = None
+                if len(distinct) > _SHORT:
+                    w = simhash_words(distinct, n_all)
+                    fp, keys = w[:n_fp].view(np.int64), _slice_keys(w, slice_bits, n_slices)
+                rows.append((digest[0], digest[1], fp, keys, distinct.view(np.int64) if len(distinct) <= few else None))
             if rows:
-                d1, d2, fps, keys = zip(*rows, strict=True)
+                d1, d2, *parts = zip(*rows, strict=True)
                 lists = lambda v: pa.array(v, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1), pa.array(d2), lists(fps), lists(keys)], names=["id", "d1", "d2", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1), pa.array(d2), *map(lists, parts)], names=["id", "d1", "d2", "fp", "keys", "short"])
 
-    return texts.mapInArrow(run, "id long, d1 long, d2 long, fp array<long>, keys array<long>")
+    return texts.mapInArrow(run, "id long, d1 long, d2 long, fp array<long>, keys array<long>, short array<long>")
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, ids: DataFrame) -> DataFrame:

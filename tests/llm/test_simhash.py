@@ -140,3 +140,25 @@ def test_links_far_inside_the_radius_are_verified(spark, monkeypatch):
     sets = {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
     want = groups(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     assert near_groups(spark, texts) == {i: r for i, r in want.items() if i != r}
+
+
+def test_recall_of_short_and_repetitive_texts(spark):
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for i in range(150):  # 4 of 5 shingles
+        t = [word() for _ in range(9)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(t), " ".join(t[:8])
+    for i in range(1000, 1020, 2):  # the same set, a passage of one text repeated
+        t = [word() for _ in range(220)]
+        texts[i], texts[i + 1] = " ".join(t + t[:24]), " ".join(t + t[:24] * 15)
+    line = [word() for _ in range(12)]
+    for i in range(2000, 2200, 4):  # a common line, edits at the end, sizes around the limit of the exact join
+        t = line + [word() for _ in range(rnd.randint(1, 50))]
+        for k in range(4):
+            cut = rnd.randint(0, max(1, len(t) // 4))
+            texts[i + k] = " ".join(t[: len(t) - cut] + [word() for _ in range(rnd.randint(0, cut))])
+    sets = {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    want = groups(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert near_groups(spark, texts) == {i: r for i, r in want.items() if i != r}
+    assert sum(want[2 * i + 1] == 2 * i for i in range(150)) == 150
