@@ -125,23 +125,36 @@ def ring(rows: DataFrame, id_col: str, carry: str) -> DataFrame:
 
 def edit_likeness(docs: DataFrame, lex: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): each text against an edited
-    copy, whose last quarter is the start of the next document, and against the next document. Ids are unique and not null.
-
-    Texts are shuffled once, by id; of the next document only the quarter that is needed moves on."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lengths = durable(docs.select(F.col(id_col), F.length(text).cast("long").alias("n_chars")))
-    links = durable(ring(lengths, id_col, "n_chars"))
-    placed = docs.select(F.col(id_col), text.alias("text")).join(links, id_col)
-    heads = placed.select(F.col("prev_id").alias("owner"), F.expr("left(text, cast(prev_carry div 4 as int))").alias("head"))
-    both = placed.select(id_col, "text", "n_chars", "next_id").join(heads, F.col(id_col) == F.col("owner"))
+    copy, whose last quarter is the start of the next document, and against the next document.
+
+    Rows are in the order of their ids, null ids last, and of their texts' hashes; the last is followed by the first. Rows
+    with one id and one text are worked out once: each is followed by its copy, the last of them by the next document.
+    Texts are shuffled once, by id and hash; of the next document only the quarter that is needed moves on."""
+    text, kind = F.coalesce(F.col(text_col).cast("string"), F.lit("")), docs.schema[id_col].dataType
+    place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("place", place)
+    lengths = durable(rows.groupBy("place").agg(F.first(F.length("text").cast("long")).alias("n_chars"), F.count(F.lit(1)).alias("copies")))
+    links = durable(ring(lengths.withColumn("c", F.struct("n_chars", "copies")), "place", "c"))
+    repeated = not lengths.where("copies > 1").isEmpty()
+    texts = rows.select("place", "text")
+    placed = (texts.dropDuplicates(["place"]) if repeated else texts).join(links, "place")
+    head = "left(text, cast({} div 4 as int))"
+    heads = placed.select(F.col("prev_id").alias("owner"), F.col("place").alias("next"), F.lit(1).cast("long").alias("times"), F.expr(head.format("prev_carry.n_chars")).alias("head"))
+    if repeated:
+        own = placed.where("c.copies > 1").select("place", F.col("place").alias("next"), F.expr("c.copies - 1").alias("times"), F.expr(head.format("c.n_chars")).alias("head"))
+        heads = heads.unionByName(own.withColumnRenamed("place", "owner"))
+    both = placed.select("place", "text", F.col("c.n_chars").alias("n_chars")).join(heads, F.col("place") == F.col("owner"))
     both = both.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 4 as int))"), "head"))
     both = with_fingerprints(both, {"text": "fingerprint", "edited": "edited_fingerprint"}, lex)
     made = durable(
-        both.select(id_col, "n_chars", "next_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
+        both.select("place", "n_chars", "next", "times", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     )
-    following = made.select(F.col(id_col).alias("following"), F.col("fingerprint").alias("next_fingerprint"))
-    return made.join(following, F.col("next_id") == F.col("following")).select(
-        id_col,
+    following = made.select(F.col("place").alias("following"), F.col("fingerprint").alias("next_fingerprint"))
+    if repeated:
+        following = following.dropDuplicates(["following"])
+    out = made.join(following, F.col("next") == F.col("following")).select(
+        F.when(~F.col("place.none"), F.col("place.id")).alias(id_col),
+        "times",
         "n_chars",
         "edited_sha256",
         "fingerprint",
@@ -149,3 +162,4 @@ def edit_likeness(docs: DataFrame, lex: list[int], id_col: str = "doc_id", text_
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+    return (out.withColumn("times", F.explode(F.expr("sequence(1L, times)"))) if repeated else out).drop("times")

@@ -67,3 +67,20 @@ def test_one_and_none(spark):
     assert I.lexicon(frame(spark, [])) == [] and I.edit_likeness(frame(spark, []), []).collect() == []
     r = I.edit_likeness(frame(spark, [(1, "abcdefgh")]), []).first()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+def test_null_and_repeated_ids(spark):
+    long = corpus(6)
+    rows = [*long, long[2], long[2], long[2], (long[4][0], "another text of the same id"), (None, "lost one"), (None, "lost two"), (None, "lost two"), (None, None)]
+    docs = frame(spark, rows)
+    got = I.edit_likeness(docs, I.lexicon(docs, idf_low=0.1)).collect()
+    texts = spark.createDataFrame(sorted({(t or "",) for _, t in rows}), "t string").selectExpr("t", "xxhash64(t) AS h").collect()
+    hashed = {r.t: r.h for r in texts}
+    ordered = sorted(((i is None, i or 0, hashed[t or ""], t or "") for i, t in rows))
+    want = []
+    for k, (none, i, _, t) in enumerate(ordered):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + ordered[(k + 1) % len(ordered)][3][:q]
+        want.append((None if none else i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(want)
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id == long[2][0]) >= 3
