@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,23 +12,46 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a temporary one only on a single machine."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one only on a single machine."""
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(shared)
+    spark.sparkContext.setCheckpointDir(shared)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df as a table written to the shared folder and read again: its lineage ends there, so a lost executor costs only its own tasks,
+    and its real size is known to the planner. Released by `release`, or when the driver ends. files: the most files it is written to (for tables that take little work)."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    (df.coalesce(files) if files else df).write.parquet(path)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    table = spark.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def files_for(rows: int) -> int:
+    """Files for a narrow table of so many rows: more would be too small to be worth a task each."""
+    return 8 + rows // 250_000
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of durable tables that are not read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        _file_system(spark, df._durable_path).delete(spark._jvm.org.apache.hadoop.fs.Path(df._durable_path), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def unit_interval(hashed: Column) -> Column:

@@ -73,9 +73,9 @@ def test_large_buckets_lose_no_pair(spark):
         fps[i] = rnd.choice(list(fps.values())) ^ (1 << rnd.randrange(20, 64))
     unique = {v: k for k, v in reversed(fps.items())}
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    rows = [(k, [signed(v)], [v >> (16 * s) & 0xFFFF for s in range(4)]) for v, k in unique.items()]
-    df = spark.createDataFrame(rows, "id long, fp array<long>, keys array<long>")
-    links = S.candidate_links(df, 64, 16, 3, bucket_limit=16, block=32)
+    rows = [(k, signed(v), 65536 * s + (v >> (16 * s) & 0xFFFF)) for v, k in unique.items() for s in range(4)]
+    df = spark.createDataFrame(rows, "id long, fp long, bucket long")
+    links = S.candidate_links(df, ["fp"], 3, bucket_limit=16, block=32)
     from tesserae.llm.components import connected_components
 
     got = {r.node: r.root for r in connected_components(links.select("a", "b")).collect()}
@@ -126,20 +126,111 @@ def test_repeated_lines_do_not_link_different_texts(spark):
     assert near_groups(spark, texts) == {}
 
 
-def test_links_far_inside_the_radius_are_verified(spark, monkeypatch):
-    rnd = random.Random(19)
+def shingle_sets(texts):
+    return {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+
+
+def jaccard_groups(texts):
+    sets = shingle_sets(texts)
+    want = groups(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return {i: r for i, r in want.items() if i != r}
+
+
+def chained_texts(rnd, n_groups=4, size=30):
+    """Groups in which neighbours are about 0.8 alike and others less, so that many likely pairs fail."""
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
     texts = {}
-    for g in range(4):
+    for g in range(n_groups):
         base = [word() for _ in range(150)]
-        for k in range(5):
-            texts[10 * g + k] = " ".join([*base[: 150 - 6 * k], *[word() for _ in range(6 * k)]])
-    # all pairs within the radius count as certain, so the forest has links that fail
-    links = S.candidate_links
-    monkeypatch.setattr(S, "candidate_links", lambda f, b, s, radius, sure: links(f, b, s, radius, radius - 1 if sure > 0 else sure))
-    sets = {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
-    want = groups(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    assert near_groups(spark, texts) == {i: r for i, r in want.items() if i != r}
+        for k in range(size):
+            texts[100 * g + k] = " ".join(base)
+            at = rnd.randrange(130)
+            base = [*base[:at], *[word() for _ in range(rnd.choice((2, 9, 14)))], *base[at + 10 :]]
+    return texts
+
+
+def test_every_link_is_verified(spark):
+    texts = chained_texts(random.Random(19))
+    assert near_groups(spark, texts) == jaccard_groups(texts)
+
+
+@pytest.mark.parametrize("how", [{"chunk": 8}, {"chunk": 4, "load": 900}, {"bucket_limit": 3}, {"bucket_limit": 3, "chunk": 5}])
+def test_large_families_and_buckets_lose_no_link(spark, how):
+    rnd = random.Random(29)
+    texts = chained_texts(rnd, 2, 40)
+    base = texts[0].split()
+    for k in range(60):  # a dense group around one text, its members about 0.8 alike
+        t = list(base)
+        for _ in range(3):
+            t[rnd.randrange(len(t))] = f"w{rnd.randrange(10**6)}"
+        texts[1000 + k] = " ".join(t)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.node: r.root for r in S.near_duplicate_groups(docs, **how).collect()} == jaccard_groups(texts)
+
+
+def test_recall_between_080_and_085(spark):
+    """Pairs whose Jaccard similarity lies in [0.80, 0.85], each pair apart from all others."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts, pairs = {}, 0
+    while pairs < 400:
+        n = rnd.choice((12, 40, 90, 200, 600))
+        one = [word() for _ in range(n)]
+        two = list(one)
+        for _ in range(max(1, n // 50)):
+            at = rnd.randrange(n)
+            two[at : at + rnd.randint(1, 3)] = [word()]
+        a, b = (set(S.shingle_hashes(" ".join(x), 5).tolist()) for x in (one, two))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            texts[2 * pairs], texts[2 * pairs + 1] = " ".join(one), " ".join(two)
+            pairs += 1
+    got = near_groups(spark, texts)
+    found = sum(got.get(2 * i + 1) == 2 * i for i in range(pairs))
+    print("recall between 0.80 and 0.85:", found / pairs)
+    assert found >= 0.99 * pairs
+    assert len(got) == found
+
+
+@given(st.lists(st.sets(st.integers(0, 60)), min_size=2, max_size=9))
+@settings(max_examples=40, deadline=None)
+def test_common_counts(raw):
+    sets = [np.array(sorted(x), np.uint64) for x in raw]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b] * 9, strict=True))
+    want = [len(raw[a] & raw[b]) for a, b in zip(i, j, strict=True)]
+    for limit in (1 << 26, 200, 0):
+        assert S.common_counts(sets, i, j, limit).tolist() == want
+
+
+@pytest.mark.parametrize(("n", "n_masks"), [(10, 4), (1 << 25, 10), (1 << 35, 20), (1 << 45, 35)])
+def test_masks_cover_three_differing_bits(n, n_masks):
+    masks = S.block_masks(n, 3)
+    assert len(masks) == n_masks
+    rnd = random.Random(n)
+    for _ in range(300):
+        flipped = sum(1 << b for b in rnd.sample(range(64), 3))
+        assert any(not flipped & m for m in masks)
+
+
+@pytest.mark.parametrize("fill", [1e-3, 1e-7])
+def test_components_with_masks_of_many_blocks(spark, fill):
+    rnd = random.Random(13)
+    base = [" ".join(rnd.choice("abcdefghij") * rnd.randint(1, 3) for _ in range(rnd.randint(1, 60))) for _ in range(60)]
+    texts = dict(enumerate(base + [t + " zz" for t in base]))
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    want = groups(list(prints), lambda a, b: hamming(prints[a], prints[b]) <= 3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.simhash_components(docs, fill=fill).collect()} == want
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(37)
+    long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300_000))
+    texts = {1: long, 2: long + " tail words", 3: long[: len(long) // 2], 4: "w" * 2_000_000, 5: "w" * 2_000_000 + " x"}
+    assert near_groups(spark, texts) == {2: 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: brute_fingerprint(t) for i, t in texts.items() if i > 3}
+    got = {r.doc_id: r.fingerprint for r in S.simhash_components(docs).collect()}
+    assert {i: got[i] for i in prints} == {i: f"{p:016x}" for i, p in prints.items()}
 
 
 def test_recall_of_short_and_repetitive_texts(spark):
