@@ -63,6 +63,36 @@ def test_documents_follow_the_plan(spark, rows):
     assert dict(words) == {r.doc_id: r.taken for r in M.mix_plan(docs).collect() if r.taken}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_rows_are_cut_once(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(12):
+        row = (rnd.choice([i, None]), " ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randint(1, 12))), rnd.choice("ab"))
+        rows += [row] * rnd.choice([1, 3, 8])
+    rows += [(5, "same id other text", "a"), (5, "same id third text here", "a")]
+    docs = frame(spark, rows)
+    plan, got = defaultdict(int), defaultdict(int)
+    for r in M.mix_plan(docs).collect():
+        plan[r.source_size] += r.taken
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for r in M.mix_documents(docs).collect():
+        got[sizes[r.source]] += len(r.text.split())
+    assert dict(got) == dict(plan)
+    targets = brute_targets(sizes)
+    assert all(abs(got[sizes[s]] - targets[s]) <= 0.5 for s in sizes) or sizes["a"] == sizes["b"]
+
+
+def test_one_row_many_times_is_spread(spark):
+    docs = frame(spark, [(7, "one two three", "a")] * 3000 + [(i, "x y", "b") for i in range(100)])
+    got = [r.taken for r in M.mix_plan(docs).collect()]
+    assert len(got) == 3100 and all(0 <= t <= 6 for t in got)
+    sizes = {"a": 9000, "b": 200}
+    assert sum(got) == sum(round(t) for t in brute_targets(sizes).values())
+
+
 def test_empty_and_wordless(spark):
     assert M.mix_plan(frame(spark, [])).collect() == [] and M.mix_documents(frame(spark, [])).count() == 0
     got = M.mix_plan(frame(spark, [(1, None, None), (2, "", "a")])).collect()
