@@ -15,7 +15,7 @@ the language first by code point. An empty table gives an empty result. Very lon
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,12 +138,20 @@ def identify(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col:
     ).withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Mixture, text_col: str = "text", wanted: Callable[[str, float], bool] | None = None) -> DataFrame:
-    """The rows of docs whose language was found (and is `wanted`), all columns as they are."""
-    wanted, at = wanted or (lambda lang, score: lang != "und"), docs.columns.index(text_col)
+def keep_identified(
+    docs: DataFrame, model: Mixture, text_col: str = "text", languages: Collection[str] | None = None, min_share: float = 0.6
+) -> DataFrame:
+    """The rows of docs whose main language is one of `languages` (any learned one, if None) and holds at least `min_share` of the
+    text's n-grams, all columns as they are. Texts without a letter, mixtures without a main language, and texts of other
+    languages go."""
+    at = docs.columns.index(text_col)
+
+    def wanted(text: str | None) -> bool:
+        lang, share, _ = model.predict(text)
+        return lang != "und" and share >= min_share and (languages is None or lang in languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([wanted(*model.predict(t.as_py())[:2]) for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([wanted(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -46,6 +46,17 @@ def test_mixtures_have_several_languages(spark):
     assert model.predict(text(rnd, "yy", 60))[2] == ["yy"]
 
 
+def test_mixtures_and_unwanted_languages_go(spark):
+    rnd = random.Random(12)
+    model = L.learn(frame(spark, corpus()))
+    half = text(rnd, "xx", 60) + " " + text(rnd, "zz", 60)
+    rows = [(1, text(rnd, "xx", 60), "zz"), (2, text(rnd, "yy", 60), None), (3, half, "xx"), (4, "12 34", "xx"), (5, None, "xx"), (6, text(rnd, "zz", 60), "zz")]
+    kept = lambda **how: sorted(r.doc_id for r in L.keep_identified(frame(spark, rows), model, **how).collect())
+    assert kept() == [1, 2, 6]
+    assert kept(languages=["xx", "yy"]) == [1, 2]
+    assert kept(min_share=0.0) == [1, 2, 3, 6]
+
+
 def test_em_reaches_the_likelihood_of_a_grid_search():
     rng = np.random.default_rng(1)
     counts = {lang: rng.integers(1, 50, L.SIZE).astype(float) for lang in "ab"}
