@@ -30,6 +30,8 @@ from .common import durable, grouped_prefix
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose class libraries may differ: rare controls, and all from U+0250 on.
 _UNSURE = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
+#: Runs that are left to the tokenizers library.
+_LONG_RUN = r"\s{1000}|[^\s]{10000}"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -55,8 +57,9 @@ class Tokens:
     """Token ids of texts by a file of the tokenizers library.
 
     For a plain byte-level BPE the same merges are run by tiktoken, which gives the same ids in about a quarter of the time;
-    texts with the file's special tokens, or with characters on whose class the two might differ, go through the tokenizers
-    library, and so does everything for other kinds of files.
+    texts with the file's special tokens, with characters on whose class the two might differ, or with a run of white space or of
+    other characters so long that tiktoken's pattern matching could run out of stack, go through the tokenizers library, and so does
+    everything for other kinds of files, and any text on which tiktoken fails.
     """
 
     def __init__(self, path: str):
@@ -66,7 +69,7 @@ class Tokens:
         with open(path, encoding="utf-8") as f:
             ranks = _ranks(json.load(f))
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.slow = re.compile("|".join([_UNSURE.pattern, *map(re.escape, added)]))
+        self.slow = re.compile("|".join([_UNSURE.pattern, _LONG_RUN, *map(re.escape, added)]))
         if ranks:
             import tiktoken
 
@@ -74,7 +77,11 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast and not self.slow.search(text):
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
+            try:
+                return np.array(self.fast.encode_ordinary(text), np.uint32)
+            except BaseException as failed:  # a panic of the library is no Exception
+                if not isinstance(failed, Exception) and type(failed).__name__ != "PanicException":
+                    raise
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

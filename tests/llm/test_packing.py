@@ -32,6 +32,25 @@ def test_ids_are_the_tokenizers(text):
     assert K.Tokens(tokenizer_path()).ids(text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, " \n\t" * 700_000, "a" + " " * 999 + "b" + "\n" * 1001, "x" * 2_000_000, "ab, " * 3 + "-" * 300_000 + " z", "1" * 500_000], ids=range(7))
+def test_ids_of_long_runs(text):
+    assert K.Tokens(tokenizer_path()).ids(text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_a_failure_of_the_fast_path_is_no_failure():
+    tokens = K.Tokens(tokenizer_path())
+
+    class PanicException(BaseException):
+        pass
+
+    class Broken:
+        def encode_ordinary(self, text):
+            raise PanicException("stack overflow")
+
+    tokens.fast = Broken()
+    assert tokens.ids("some text").tolist() == tokenizer().encode("some text", add_special_tokens=False).ids
+
+
 def test_ids_of_random_text():
     rnd, tokens, plain = random.Random(0), K.Tokens(tokenizer_path()), tokenizer()
     letters = "ab cd\n.,'sé12 \t-ß\u00a0漢²\x1c\x85ªɏ¼\r\u00ad"
