@@ -2,7 +2,7 @@
 
 Features are words and beginnings of words (3 to 7 letters) that labelled texts show to be toxic or clean beyond chance: the
 `features` of the largest z-score of their document frequency in toxic against clean texts (at least `min_z`, in at least
-`min_texts` texts; texts of one label with the same smallest three-word shingle, so most near copies, count once). Cues are those in
+`min_texts` texts). Every labelled text of the sample is read; near copies of one label share one vote, in these counts and in the fit. Cues are those in
 `min_share` of the toxic texts at least, that have a toxic label in `min_precision` of their texts. A text's feature values are
 log(1 + count) of each, and three of all its words with a cue: log(1 + count), presence, and number in a hundred words. Weights keep
 the sign of their feature's z-score; the ridge penalty draws them to the common weights.
@@ -71,12 +71,18 @@ class Lookup(dict):
 
 
 def _same_text(text):
-    """A key that near copies mostly share: the smallest hash of three words in a row (fewer words: of the text)."""
+    """A key that near copies mostly share and other texts don't: the smallest of three hashes over all three words in a row (fewer words: the
+    hash of the text). Texts that share a part p of these shingles share the key with a chance of about p^3."""
     w = F.array(F.split(text, "\\s+"))
     n = lambda x: F.greatest(F.size(x) - 2, F.lit(0))
     part = lambda x, k: F.slice(x, F.lit(k), n(x))
-    rows = F.transform(w, lambda x: F.zip_with(F.zip_with(part(x, 1), part(x, 2), lambda a, b: F.xxhash64(a, b)), part(x, 3), lambda a, b: F.xxhash64(a, b)))[0]
-    return F.coalesce(F.array_min(rows), F.xxhash64(text))
+    rows = F.transform(w, lambda x: F.zip_with(F.zip_with(part(x, 1), part(x, 2), lambda a, b: F.xxhash64(a, b)), part(x, 3), lambda a, b: F.xxhash64(a, b)))
+    least = F.transform(rows, lambda r: F.xxhash64(*[F.array_min(F.transform(r, (lambda k: lambda h: F.xxhash64(F.lit(k), h))(k))) for k in range(3)]))[0]
+    return F.when(F.size(rows[0]) > 0, least).otherwise(F.xxhash64(text))
+
+
+#: A text's vote is this divided by the number of labelled near copies that it has, itself included.
+VOTE = 1_000_000
 
 
 #: Number of features of all cue words together.
@@ -104,12 +110,13 @@ class Severity:
 
 
 def fit_ordinal(
-    x: np.ndarray, y: np.ndarray, levels: int, ridge: np.ndarray, sign: np.ndarray, rounds: int = 600
+    x: np.ndarray, y: np.ndarray, levels: int, ridge: np.ndarray, sign: np.ndarray, rounds: int = 600, vote: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model by projected gradient ascent (Adam) on the penalised likelihood.
-    ridge: penalty of each weight; sign: 1 or -1, the side of 0 on which the weight stays."""
-    n, m = x.shape
-    above = np.array([max((y > g).mean(), 0.5 / n) for g in range(levels - 1)])
+    ridge: penalty of each weight; sign: 1 or -1, the side of 0 on which the weight stays; vote: weight of each row (1, if None)."""
+    m, vote = x.shape[1], np.ones(len(x)) if vote is None else vote
+    n = vote.sum()
+    above = np.array([max(vote @ (y > g) / n, 0.5 / n) for g in range(levels - 1)])
     start = -np.log(above / (1 - np.minimum(above, 1 - 0.5 / n)))
     steps = np.log(np.maximum(np.diff(start), 1e-2))
     theta = np.concatenate([np.zeros(m), start[:1], steps])
@@ -120,7 +127,7 @@ def fit_ordinal(
         s = x @ w
         f_hi = np.where(y == levels - 1, 1.0, 1 / (1 + np.exp(np.clip(s - t[high], -60, 60))))
         f_lo = np.where(y == 0, 0.0, 1 / (1 + np.exp(np.clip(s - t[low], -60, 60))))
-        p = np.maximum(f_hi - f_lo, 1e-12)
+        p = np.maximum(f_hi - f_lo, 1e-12) / vote
         d_hi = np.where(y == levels - 1, 0.0, f_hi * (1 - f_hi)) / p
         d_lo = np.where(y == 0, 0.0, f_lo * (1 - f_lo)) / p
         g_t = np.bincount(high, d_hi, levels - 1) - np.bincount(low, d_lo, levels - 1)
@@ -153,21 +160,25 @@ def learn(
     chosen = durable(known.where(chance < min(1.0, sample / max(n_known, 1))))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most about `sample` rows of two numbers: small enough for every executor
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("text", "toxic")
-    rows = rows.groupBy(_same_text(F.coalesce("text", F.lit(""))).alias("same"), (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.first("text").alias("text")).select("text", "toxic")
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = durable(rows.withColumn("same", _same_text(F.coalesce("text", F.lit("")))))
+    sizes = rows.groupBy("same", "toxic").agg(F.count(F.lit(1)).alias("copies"))
+    vote = F.expr(f"{VOTE}L div copies")
+    rows = rows.join(sizes, ["same", "toxic"]).select("id", "text", "toxic", "same", vote.alias("vote"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+            for text, toxic, vote in zip(*(batch.column(c) for c in ("text", "toxic", "vote")), strict=True):
+                side, weight = toxic.as_py(), vote.as_py()
                 for w in {"", *(f for w in set(words(text.as_py())) for f in features_of(w))}:
-                    seen.setdefault(w, [0, 0])[toxic.as_py() > 0] += 1
+                    seen.setdefault(w, [0, 0])[side] += weight
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(seen)), pa.array([v[0] for v in seen.values()]), pa.array([v[1] for v in seen.values()])], names=["word", "clean", "toxic"]
             )
 
-    counts = durable(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    counts = durable(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(*[(F.sum(c) / VOTE).alias(c) for c in ("clean", "toxic")]))
     base = counts.where("word = ''").first()
     if base is None or not base.clean or not base.toxic:
         return Severity({}, np.empty(0, bool), np.zeros(COMMON), np.empty(0))
@@ -181,20 +192,24 @@ def learn(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lookup.counts(t.as_py()) for t in batch.column(0)]
+            found = [lookup.counts(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([list(f) for f, _, _ in found], pa.list_(pa.int32())),
                     pa.array([list(f.values()) for f, _, _ in found], pa.list_(pa.int32())),
                     pa.array([c for _, c, _ in found], pa.int64()),
                     pa.array([n for _, _, n in found], pa.int64()),
-                    batch.column(1),
+                    batch.column("toxic"),
+                    batch.column("vote"),
+                    batch.column("same"),
                 ],
-                names=["at", "n", "cues", "words", "toxic"],
+                names=["at", "n", "cues", "words", "toxic", "vote", "same"],
             )
 
-    data = rows.mapInArrow(encode, "at array<int>, n array<int>, cues long, words long, toxic int").toArrow().to_pylist()
+    data = rows.mapInArrow(encode, "at array<int>, n array<int>, cues long, words long, toxic int, vote long, same long").toArrow().to_pylist()
+    data.sort(key=lambda r: (r["same"], r["toxic"], r["cues"], r["words"], sorted(zip(r["at"], r["n"], strict=True))))  # one order, whatever the tasks'
     x, y, share = np.zeros((len(data), len(top) + COMMON)), np.zeros(len(data), np.int64), np.zeros(len(data))
+    vote = np.array([r["vote"] for r in data]) / VOTE
     for i, r in enumerate(data):
         x[i, r["at"]] = np.log1p(r["n"])
         y[i] = r["toxic"] > 0
@@ -205,7 +220,7 @@ def learn(
     present = np.unique(y)
     y = np.searchsorted(present, y)  # grades without rows are left out
     ridge, sign = np.append(np.full(len(top), 5.0), np.full(COMMON, 0.1)), np.append([1.0 if r.z > 0 else -1.0 for r in top], np.ones(COMMON))
-    return Severity(vocabulary, cue, *fit_ordinal(x, y, len(present), ridge, sign))
+    return Severity(vocabulary, cue, *fit_ordinal(x, y, len(present), ridge, sign, vote=vote))
 
 
 def score(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:

@@ -80,3 +80,39 @@ def test_near_copies_share_a_key(spark):
     df = spark.createDataFrame([(0, text), (1, text + " end"), (2, "a b"), (3, ""), (4, "other words here")], "i int, t string")
     key = {r[0]: r[1] for r in df.select("i", T._same_text(df.t)).collect()}
     assert key[0] == key[1] and len(set(key.values())) == 4
+
+
+def test_learning_is_the_same_however_rows_are_dealt_out(spark):
+    rows, labels = corpus(200)
+    rows += [(500 + k, rows[3][1] + f" tail{k}") for k in range(9)]  # near copies share one vote
+    known = spark.createDataFrame([*labels, *((500 + k, labels[3][1]) for k in range(9))], "doc_id long, toxic int")
+    models = [T.learn(frame(spark, rows).repartition(n), known.repartition(n)) for n in (1, 7)]
+    assert models[0].vocabulary == models[1].vocabulary
+    assert np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].thresholds, models[1].thresholds)
+
+
+def test_texts_that_share_a_passage_all_count(spark):
+    """Toxic texts with one long common passage and a word of their own kind: none of them is left out."""
+    rows, labels = corpus(200)
+    passage = " ".join(f"p{k}" for k in range(40))
+    extra = [(1000 + k, f"{passage} vex vex {' '.join(f'q{k}x{j}' for j in range(40))}") for k in range(30)]
+    model = T.learn(frame(spark, rows + extra), spark.createDataFrame([*labels, *((i, 1) for i, _ in extra)], "doc_id long, toxic int"))
+    assert "vex" in model.vocabulary
+
+
+def test_scores_match_a_plain_computation(spark):
+    rows, labels = corpus(300)
+    docs = frame(spark, [*rows, (900, None), (901, "vile " * 400_000), (902, "x" * 1_000_000)])
+    model = T.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for r in T.score(docs, model).collect():
+        text = dict([*rows, (901, "vile " * 400_000), (902, "x" * 1_000_000)]).get(r.doc_id) or ""
+        plain, cues, n = {}, 0, 0
+        for w in T._WORDS.findall(text.lower()):
+            own = [f for f in [w, *(w[:k] + "*" for k in range(3, 8) if len(w) > k)] if f in model.vocabulary]
+            for f in own:
+                plain[f] = plain.get(f, 0) + 1
+            cues, n = cues + any(model.cue[model.vocabulary[f]] for f in own), n + 1
+        s = sum(model.weights[model.vocabulary[f]] * np.log1p(c) for f, c in plain.items())
+        s += model.weights[-3] * np.log1p(cues) + model.weights[-2] * (cues > 0) + model.weights[-1] * min(100 * cues / max(n, 1), 10)
+        want = sum(1 - 1 / (1 + np.exp(-min(max(t - s, -60), 60))) for t in model.thresholds)
+        assert abs(r.severity - want) < 1e-9 and r.toxic == (r.severity >= 0.5)
