@@ -1,9 +1,10 @@
 """Sharding by longest-processing-time scheduling.
 
-Groups of equal texts stay together; sorted by size, each goes to the least-loaded shard through a heap. The heap runs on
-the driver over a bounded list: a group of at least 1 / (n_shards * resolution) of all bytes is an item of its own, which
-at most n_shards * resolution groups can be; smaller groups are dealt by hash into n_shards * resolution bundles. So a
-shard is off the mean by about 1 / resolution at most, unless one group alone is larger than a shard.
+Groups of equal texts stay together; sorted by size, each goes to the least-loaded shard through a heap. Groups of one size are
+interchangeable, so the driver needs only how many groups each size has: all groups of a size are placed at once,
+as the heap would place them one by one. There are at most sqrt(2 * bytes) different sizes, however the texts are spread (their sum is at
+most the total), and in practice about as many as there are lengths of texts. Groups find their shard by
+their distributed rank among the groups of their size.
 
 Null text has size 8 and checksum 0 and groups with other nulls only. Repeated rows count each. Rows with a null id are
 sharded like others. An empty table gives an empty result. Other columns of the input are ignored.
@@ -12,47 +13,82 @@ sharded like others. An empty table gives an empty result. Other columns of the
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, grouped_prefix
 
 
-def longest_first(items: list[tuple[int, object]], n_shards: int) -> dict[object, int]:
-    """items: (size, name). Each, largest first (ties by name), goes to the least-loaded shard."""
-    heap, placed = [(0, s) for s in range(n_shards)], {}
-    for size, name in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        load, shard = heapq.heappop(heap)
-        placed[name] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+class Schedule:
+    """Longest processing time over a histogram (size, number of groups) onto n_shards.
 
+    Groups are numbered through all sizes, largest size first; `starts` and `shards` are the intervals of these numbers."""
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", resolution: int = 1024) -> DataFrame:
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, n_shards: int):
+        order = np.argsort(-sizes, kind="stable")
+        self.sizes, counts = -sizes[order], counts[order]  # ascending, for searching
+        self.first = np.cumsum(counts) - counts
+        heap = [(0, s) for s in range(n_shards)]
+        starts, shards = [], []
+        for size, n, at in zip((-self.sizes).tolist(), counts.tolist(), self.first.tolist(), strict=True):
+            dealt = [0] * n_shards
+            if n > 2 * n_shards:
+                # the heap pops the n smallest of load + k * size: all below the level that does not yet use up n come first
+                loads, low, high = [load for load, _ in sorted(heap, key=lambda x: x[1])], 0, max(heap)[0] + size * n + 1
+                below = lambda level, loads=loads, size=size: [max(0, -((load - level) // size)) for load in loads]
+                while high - low > 1:
+                    level = (low + high) // 2
+                    low, high = (level, high) if sum(below(level)) <= n else (low, level)
+                dealt = below(low)
+                heap = [(load + k * size, s) for s, (load, k) in enumerate(zip(loads, dealt, strict=True))]
+                heapq.heapify(heap)
+            for _ in range(n - sum(dealt)):
+                load, shard = heap[0]
+                heapq.heapreplace(heap, (load + size, shard))
+                dealt[shard] += 1
+            for shard, k in enumerate(dealt):
+                if k:
+                    starts.append(at)
+                    shards.append(shard)
+                    at += k
+        self.starts, self.shards = np.array(starts, np.int64), np.array(shards, np.int32)
+        self.loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+    def find(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The shard of the rank-th group of each size."""
+        number = self.first[np.searchsorted(self.sizes, -size)] + rank
+        return self.shards[np.searchsorted(self.starts, number, "right") - 1]
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row; the law is `bytes`."""
-    spark, text, n_items = docs.sparkSession, F.col(text_col).cast("string"), n_shards * resolution
+    text = F.col(text_col).cast("string")
     rows = durable(
         docs.select(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("text_key"),
-        ).withColumn("bundle", F.pmod(F.xxhash64("text_key"), F.lit(n_items)).cast("int"))
-    )
-    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = durable(rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.first("bundle").alias("bundle")))
-    large = F.col("bytes") * n_items >= total
-    items = [(r[1], r[0]) for r in groups.where(large).select("text_key", "bytes").collect()]  # at most n_items rows
-    items += [(r[1], r[0]) for r in groups.where(~large).groupBy("bundle").agg(F.sum("bytes")).collect()]  # at most n_items rows
-    placed = longest_first(items, n_shards)
-    by_key = spark.createDataFrame([(k, s) for k, s in placed.items() if isinstance(k, str)], "text_key string, key_shard int")
-    by_bundle = spark.createDataFrame([(k, s) for k, s in placed.items() if isinstance(k, int)], "bundle int, bundle_shard int")
-    put = (
-        rows.join(F.broadcast(by_key), "text_key", "left")
-        .join(F.broadcast(by_bundle), "bundle", "left")
-        .select("id", "size", "text_crc32", F.coalesce("key_shard", "bundle_shard").alias("shard"), F.xxhash64("id", "text_key").alias("key"))
+            F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("text_key"),
+        )
     )
+    n_rows = rows.count()
+    groups = durable(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).withColumn("key", F.xxhash64("text_key")))
+    histogram = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    plan = Schedule(histogram.column("bytes").to_numpy(), histogram.column("n").to_numpy(), n_shards)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                shard = plan.find(batch.column("bytes").to_numpy(), batch.column("rank").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(shard)], names=["text_key", "shard"])
+
+    ranked = grouped_prefix(groups, "bytes", "key", ["text_key"], F.lit(1), "rank", groups.count())
+    placed = durable(ranked.select("text_key", "bytes", F.col("rank").cast("long").alias("rank")).mapInArrow(place, "text_key binary, shard int"))
+    put = rows.join(placed, "text_key").select("id", "size", "text_crc32", "shard", F.xxhash64("id", "text_key").alias("key"))
     return grouped_prefix(put, "shard", "key", ["id", "text_crc32"], F.lit(1), "slot", n_rows).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
