@@ -3,8 +3,8 @@
 Two codebooks, one for each half of the unit vectors, are fitted on a bounded sample (at most `sample` vectors, chosen by
 hash); their product is the grid of cells and every vector is indexed. A vector visits cells in the order of the
 multi-sequence traversal: by the sum over both halves of the squared distance to the border of the cell's half. It
-stops at a radius calibrated on simulated pairs at exactly the wanted cosine, so that `recall` of them are reached;
-nearer pairs are reached more often. What the visits meet is verified by the cosine in double precision.
+stops at a radius calibrated on simulated pairs at exactly the wanted cosine, and on the sample's own pairs near it, so that `recall` of
+both are reached; nearer pairs are reached more often. What the visits meet is verified by the cosine in double precision.
 
 Cells are cut into chunks of at most `chunk` indexed vectors and `chunk` visitors, each pair of chunks being a task; links
 are counted there and passed on as sums and spanning forests, never as pairs. Equal vectors are compared once.
@@ -13,7 +13,7 @@ Large groups of near copies are not compared pair by pair: pivots are found in t
 linking angle of one pivot are linked with each other by the triangle inequality, so they only count their group's size.
 They are still compared with everything outside their group.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing. Rows
+Vectors that are null, zero, or hold null or non-finite components link with nothing; each length of vectors has an index of its own. Rows
 with a null id are compared too but have no component. Repeated rows stay and count as vectors of their own. An empty
 table gives an empty result. Other columns of the input (labels too) are ignored.
 """
@@ -32,6 +32,10 @@ from .common import durable
 from .components import connected_components
 
 
+#: A table of cells up to this many rows is broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
 def unit_rows(table) -> np.ndarray:
     """A list column as unit vectors in double precision."""
     flat = table.combine_chunks() if isinstance(table, pa.ChunkedArray) else table
@@ -99,10 +103,13 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, n_vectors: int, cosine: float, recall: float, cell_size: int, seed: int = 7):
         self.half = sample.shape[1] // 2
-        k = int(min(256, max(2, np.ceil(np.sqrt(n_vectors / cell_size)))))
+        # cells of about cell_size vectors, as far as the sample has 20 vectors a centre
+        k = int(min(max(2, len(sample) // 20), max(2, np.ceil(np.sqrt(n_vectors / cell_size)))))
         self.books = [fit_codebook(sample[:, : self.half], k), fit_codebook(sample[:, self.half :], k)]
         rng = np.random.default_rng(seed)
         x = sample[rng.choice(len(sample), min(len(sample), 4000), replace=False)]
+        near = x @ x.T
+        real = np.argwhere(np.triu((near >= cosine) & (near < (1 + cosine) / 2), 1))[:100_000]  # the sample's own pairs near the wanted cosine
         noise = rng.standard_normal(x.shape)
         noise -= (noise * x).sum(axis=1, keepdims=True) * x
         size = np.sqrt((noise * noise).sum(axis=1, keepdims=True))
@@ -113,7 +120,11 @@ class MultiIndex:
         #: Cosine of half the linking angle, with room for rounding.
         self.inner = np.sqrt((1 + cosine) / 2) + 1e-6
         self.pivots = dense_pivots(sample, self.inner)
-        self.radius = float(np.quantile(b1[at, c1] + b2[at, c2], recall)) + 1e-9
+        reach = np.quantile(b1[at, c1] + b2[at, c2], recall)
+        if len(real):
+            ((own1, r1), (own2, r2)), i, j = self.borders(x), real[:, 0], real[:, 1]
+            reach = max(reach, np.quantile(r1[i, own1[j]] + r2[i, own2[j]], recall))
+        self.radius = float(reach) + 1e-9
 
     def borders(self, x: np.ndarray):
         return border_distances(x[:, : self.half], self.books[0]), border_distances(x[:, self.half :], self.books[1])
@@ -166,32 +177,35 @@ def embedding_components(
     cell_size: int = 1000,
     chunk: int = 2048,
 ) -> DataFrame:
-    """(id, n_links, component_id, kept) for each row: links at a cosine of at least `cosine`."""
+    """(id, n_links, component_id, kept) for each row: links at a cosine of at least `cosine`, between vectors of one length."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     finite = lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) != F.lit(float("inf"))), F.lit(False))
-    usable = rows.where(v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda e: e != 0))
-    length = usable.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    usable = usable.where(F.size(v) == (length[0] if length else 0))
+    usable = v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda e: e != 0)
+    # a vector's digest: 128 bits, so that copies meet without moving vectors
+    digest = [F.when(usable, F.xxhash64(F.lit(k), F.size(v), v)).alias(f"h{k}") for k in (1, 2)]
+    of_row = durable(rows.select("id", *digest))
     reps = durable(
-        usable.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.coalesce("id", F.xxhash64("v").bitwiseOR(F.lit(-(1 << 63)).cast("long"))))
+        rows.where(usable).select("id", "v", *digest).groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("node", F.coalesce("id", F.col("h1").bitwiseOR(F.lit(-(1 << 63)).cast("long"))))
     )
-    n = reps.count()
-    if n:
-        fit = reps.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow().column("v")
-        found = _found(reps, MultiIndex(unit_rows(fit), n, cosine, recall, cell_size), cosine, chunk)
-    else:
+    found = None
+    for length, n in sorted(tuple(r) for r in reps.groupBy(F.size(v)).count().collect()):  # a row for each length of vectors
+        one = reps.where(F.size(v) == length)
+        fit = one.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow().column("v")
+        links = _found(one, MultiIndex(unit_rows(fit), n, cosine, recall, cell_size), cosine, chunk)
+        found = links if found is None else found.unionByName(links)
+    if found is None:
         found = rows.sparkSession.createDataFrame([], "node long, other long, n long")
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("found"))
     comp = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = (
-        reps.join(counts, "node", "left")
+    named = durable(
+        reps.select("h1", "h2", "node", "copies").join(counts, "node", "left")
         .join(comp.select(F.col("node").alias("node_"), "root"), F.col("node") == F.col("node_"), "left")
-        .select(F.col("v").alias("rep_v"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
+        .select("h1", "h2", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
     )
-    linked = usable.join(named, F.col("v") == F.col("rep_v")).select("id", "n", "root")
-    rest = rows.select("id", F.when(v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda e: e != 0) & (F.size(v) == (length[0] if length else 0)), 1).alias("ok"))
-    alone = rest.where("ok is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))
+    linked = of_row.where("h1 is not null").join(named, ["h1", "h2"]).select("id", "n", "root")
+    alone = of_row.where("h1 is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))
     out = linked.unionByName(alone)
     component = F.when(F.col("id").isNotNull(), F.col("root"))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -223,13 +237,12 @@ def _found(reps: DataFrame, index: MultiIndex, cosine: float, chunk: int) -> Dat
     every = guests.groupBy("cell").agg(F.sum("n").alias("n_all"))
     kin = guests.where(F.col("from") >= 0).withColumnRenamed("from", "dense")
     sized = own.join(every, "cell").join(kin, ["cell", "dense"], "left").withColumn("n_guests", F.col("n_all") - F.coalesce("n", F.lit(0)))
-    parts = F.broadcast(  # at most 256 x 256 cells times the dense groups that each holds
-        durable(
-            sized.where("n_guests > 0").select(
-                "cell", F.col("dense").alias("part"), F.ceil(F.col("n_own") / chunk).cast("int").alias("p"), F.ceil(F.col("n_guests") / chunk).cast("int").alias("q")
-            )
+    parts = durable(
+        sized.where("n_guests > 0").select(
+            "cell", F.col("dense").alias("part"), F.ceil(F.col("n_own") / chunk).cast("int").alias("p"), F.ceil(F.col("n_guests") / chunk).cast("int").alias("q")
         )
     )
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
     host = placed.select("node", "copies", "v", "cell", "dense", F.lit(True).alias("host"), F.col("cell").alias("home"))
     host = host.join(parts.withColumnRenamed("part", "dense"), ["cell", "dense"]).withColumnRenamed("dense", "part")
     host = host.withColumn("pp", F.pmod(F.xxhash64("node"), F.col("p")).cast("int")).withColumn("qq", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
@@ -257,7 +270,7 @@ def _found(reps: DataFrame, index: MultiIndex, cosine: float, chunk: int) -> Dat
     both = host.select(*names).unionByName(guest.select(*names))
     compared = both.groupBy("cell", "part", "pp", "qq").applyInArrow(compare, "node long, other long, n long")
     groups = placed.where("dense >= 0").groupBy("dense").agg(F.sum("copies").alias("total"), F.min("node").alias("first"))
-    members = placed.where("dense >= 0").select("node", "copies", "dense").join(F.broadcast(groups), "dense")  # as many groups as pivots
+    members = placed.where("dense >= 0").select("node", "copies", "dense").join(F.broadcast(groups), "dense")  # as many groups as pivots, of which the sample of 4000 gives at most 400
     inside = members.select("node", F.lit(None).cast("long").alias("other"), (F.col("total") - F.col("copies")).alias("n"))
     ties = members.where("node <> first").select("node", F.col("first").alias("other"), F.lit(0).cast("long").alias("n"))
     return durable(compared.unionByName(inside.where("n > 0")).unionByName(ties))

@@ -44,6 +44,19 @@ def test_empty_and_null_ids(spark):
     assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in got) == [(-1, 2, -1), (3, 2, 3), (3, 2, 3)]
 
 
+def test_each_length_of_vectors_has_its_own_links(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(30)] + [(100, [1.0, 2.0]), (101, [2.0, 4.1]), (102, [-1.0, 2.0]), (200, [3.0]), (201, [5.0]), (202, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_components(frame(spark, rows)).collect()}
+    assert got[100] == (1, 100) and got[101] == (1, 100) and got[102] == (0, 102)
+    assert got[200] == (1, 200) and got[201] == (1, 200) and got[202] == (0, 202)
+
+
+def test_one_vector_many_times(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(500)] + [(600, [1.0, 2.0, 3.1]), (601, [-3.0, 0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_components(frame(spark, rows)).collect()}
+    assert all(got[i] == (500, 0) for i in range(500)) and got[600] == (500, 0) and got[601] == (0, 601)
+
+
 def test_multi_sequence_visits_in_order():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
