@@ -112,23 +112,18 @@ h AS (
   SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, regexp_replace(host, ':[0-9]*$', '') AS bare
   FROM u LEFT JOIN o USING (page_id) GROUP BY host),
 hd AS (
-  SELECT host, n, k, regexp_extract(bare, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(bare, '[^.]*$') AS suffix FROM h),
-d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY domain),
+  SELECT host, n, k, CASE WHEN ip THEN bare WHEN two IN ({suffixes}) THEN regexp_extract(bare, '([^.]*\\.)?[^.]*\\.[^.]*$') ELSE two END AS domain,
+         CASE WHEN ip THEN 'ip' WHEN two IN ({suffixes}) THEN two ELSE regexp_extract(bare, '[^.]*$') END AS suffix
+  FROM (SELECT *, regexp_extract(bare, '([^.]*\\.)?[^.]*$') AS two, regexp_matches(bare, '^([0-9]+\\.){{3}}[0-9]+$|^\\[') AS ip FROM h)),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
-lv AS (SELECT 1 AS l, n, k FROM s UNION ALL SELECT 2, n, k FROM d UNION ALL SELECT 3, n, k FROM hd),
-m AS (
-  SELECT l, sum(n) AS sn, sum(k) AS sk, sum(n * n) AS sn2, sum(CASE WHEN n > 0 THEN k * k / n ELSE 0 END) AS q,
-         count(*) FILTER (n > 0) AS j FROM lv GROUP BY l),
-st AS (
-  SELECT l, sn, sk, CASE WHEN sn > 0 AND sn * sn > sn2 AND sk > 0 AND sk < sn THEN
-    greatest(2, least(1000, (sk / sn) * (1 - sk / sn) / greatest(1e-9,
-      (q - sk * sk / sn - (j - 1) * (sk / sn) * (1 - sk / sn)) / (sn - sn2 / sn)) - 1)) ELSE 1000 END AS s FROM m),
-g AS (
-  SELECT max(CASE WHEN l = 1 THEN s END) AS s1, max(CASE WHEN l = 2 THEN s END) AS s2, max(CASE WHEN l = 3 THEN s END) AS s3,
-         max(CASE WHEN l = 1 THEN CASE WHEN sn > 0 THEN (sk + 0.5) / (sn + 1) ELSE 0 END END) AS top FROM st),
-sm AS (SELECT suffix, (k + s1 * top) / (n + s1) AS mean FROM s, g),
-dm AS (SELECT domain, (k + s2 * mean) / (n + s2) AS mean FROM d JOIN sm USING (suffix), g),
-r AS (SELECT host, (k + s3 * mean) / (n + s3) AS share, n + s3 AS w FROM hd JOIN dm USING (domain), g),
+top AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1) ELSE 0 END AS mean FROM s),
+sp AS (SELECT s.*, mean FROM s, top), s1 AS (SELECT {strength} AS s FROM sp WHERE n > 0),
+sm AS (SELECT suffix, (k + s * mean) / (n + s) AS mean FROM sp, s1),
+dp AS (SELECT d.*, mean FROM d JOIN sm USING (suffix)), s2 AS (SELECT {strength} AS s FROM dp WHERE n > 0),
+dm AS (SELECT domain, (k + s * mean) / (n + s) AS mean FROM dp, s2),
+hp AS (SELECT hd.*, mean FROM hd JOIN dm USING (domain)), s3 AS (SELECT {strength} AS s FROM hp WHERE n > 0),
+r AS (SELECT host, (k + s * mean) / (n + s) AS share, n + s AS w FROM hp, s3),
 b AS (SELECT host, share - 1.645 * sqrt(share * (1 - share) / (w + 1)) > 0.3 AS bad FROM r),
 t(k, action, rhost, rpath) AS (VALUES (1, 'allow', 'example.com', '/en/7'), (2, 'block', 'example.net', '/de/8'),
   (3, 'block', 'com', '/en/'), (4, 'allow', 'net', '/de/'), (5, 'block', 'org', '/es/')),
@@ -136,7 +131,11 @@ f AS (
   SELECT page_id, host, path, (SELECT min(k) FROM t WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS k FROM u)
 SELECT page_id, host, path, rhost || rpath AS rule, coalesce(action, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
 FROM f JOIN b USING (host) LEFT JOIN t USING (k)
-"""
+""".format(
+    suffixes=", ".join(f"'{x}'" for x in url_filter.SUFFIXES),
+    strength="""CASE WHEN coalesce(sum((k - n * mean) * (k - n * mean) / n) > sum(mean * (1 - mean)) AND sum((n - 1) * mean * (1 - mean)) > 0, false)
+    THEN greatest(2, least(1000, sum((n - 1) * mean * (1 - mean)) / (sum((k - n * mean) * (k - n * mean) / n) - sum(mean * (1 - mean))) - 1)) ELSE 1000 END""",
+)
 
 
 def oracle_sql() -> dict[str, str]:
