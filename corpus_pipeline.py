@@ -1,7 +1,7 @@
 """Corpus pipeline: toxicity, language, near copies, mixing, packing.
 
 STAGES lists (name, function). Each function takes (spark, docs, sf_dir); all but the last return the columns of
-`documents`. A stage's result is written as Parquet and read again as the next one's docs.
+`documents`. A stage's result is written as Parquet (in the folder of spark.checkpoint.dir) and read again as the next one's docs.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import language_id, mixing, packing, simhash, toxicity
+from tesserae.llm.common import durable, release
 from tesserae.llm.queries import held_out, tokenizer_path
 
 
@@ -19,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any identifiable language (no letters, or no text) go."""
+    """Documents without a letter, and mixtures whose main language holds less than 60 % of the text, go."""
     return language_id.keep_identified(docs, language_id.learn(docs.where(~held_out("doc_id"))))
 
 
@@ -51,6 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        made = durable(stage(spark, docs, sf_dir))
+        if k:
+            release(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
