@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,13 +13,25 @@ from pyspark.sql import functions as F
 SPACE = "\\p{IsWhite_Space}\\x{1c}-\\x{1f}"
 #: Roman numerals 1 to 30 are computed by this table of parts.
 ROMAN_PARTS = ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
-#: Number words of two languages that head sections.
+#: Number words that head sections.
 NUMBER_WORDS: Mapping[str, int] = {
     "uno": 1, "due": 2, "tre": 3, "quattro": 4, "cinque": 5, "sei": 6, "sette": 7, "otto": 8, "nove": 9, "dieci": 10,
+    "undici": 11, "dodici": 12, "tredici": 13, "quattordici": 14, "quindici": 15, "sedici": 16, "diciassette": 17,
+    "diciotto": 18, "diciannove": 19, "venti": 20, "ventuno": 21, "ventidue": 22, "ventitré": 23, "ventitre": 23,
+    "ventiquattro": 24, "venticinque": 25, "ventisei": 26, "ventisette": 27, "ventotto": 28, "ventinove": 29, "trenta": 30,
     "primo": 1, "secondo": 2, "terzo": 3, "quarto": 4, "quinto": 5, "sesto": 6, "settimo": 7, "ottavo": 8, "nono": 9, "decimo": 10,
+    "undicesimo": 11, "dodicesimo": 12, "tredicesimo": 13, "quattordicesimo": 14, "quindicesimo": 15, "sedicesimo": 16,
+    "diciassettesimo": 17, "diciottesimo": 18, "diciannovesimo": 19, "ventesimo": 20,
+}
+#: An addition of this engine: English number words.
+ENGLISH_NUMBER_WORDS: Mapping[str, int] = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
     "first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "ninth": 9, "tenth": 10,
 }
+#: Parts of error messages that mean a passing fault; that ask for a retry; that ask for a pause.
+TRANSIENT = ("503", "unavailable", "high demand", "429", "timeout", "network")
+RETRY = ("503", "unavailable", "high demand", "timeout", "network")
+PAUSE = ("429", "resource_exhausted", "quota_exhausted")
 
 
 def falsy_to_null(x: Column, empty="") -> Column:
@@ -64,10 +78,10 @@ def roman_to_int(x: Column) -> Column:
 
 
 def parse_ordinal(x: Column) -> Column:
-    """A number word, a Roman numeral or digits (with a closing colon, point or comma) as an integer, else null."""
-    key = F.regexp_replace(F.lower(F.trim(x)), "^[:.,]+|[:.,]+$", "")
-    words = F.create_map(*[F.lit(v) for item in NUMBER_WORDS.items() for v in item])
-    return F.coalesce(F.try_element_at(words, key), roman_to_int(key), key.try_cast("int"))
+    """A number word, a Roman numeral or digits (with closing colons, points or commas) as an integer, else null."""
+    key = F.regexp_replace(F.lower(x), "[:.,]+$", "")
+    words = F.create_map(*[F.lit(v) for item in {**ENGLISH_NUMBER_WORDS, **NUMBER_WORDS}.items() for v in item])
+    return F.coalesce(F.try_element_at(words, key), roman_to_int(key), F.trim(key).try_cast("int"))
 
 
 def token_estimate(n_chars: Column) -> Column:
@@ -87,6 +101,46 @@ def fill_template(template: Column, values: Mapping[str, Column]) -> Column:
     return template
 
 
+def format_template(template: Column, values: Mapping[str, Column]) -> Column:
+    """A format string: `{name}` is replaced, doubled braces are literal ones, inserted values are left as they are."""
+    marks = {name: chr(0xE010 + k) for k, name in enumerate(values)}
+    out = F.replace(template, F.lit("{{"), F.lit("\ue000"))
+    for name, mark in marks.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.lit(mark))
+    out = F.replace(F.replace(out, F.lit("}}"), F.lit("}")), F.lit("\ue000"), F.lit("{"))
+    for name, value in values.items():
+        out = F.replace(out, F.lit(marks[name]), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def output_name(collection: Column, block: Column, scene: Column, custom: Column, stamp: Column) -> Column:
+    """File name of a stage's output: the normalised collection and the parts that are there, joined by `-`; a block that begins
+    with the collection is not doubled."""
+    slug = normalize_id(collection)
+    head = F.when(F.coalesce(block, F.lit("")) == "", slug).when(F.startswith(block, F.concat(slug, F.lit("-"))), block).otherwise(F.concat(slug, F.lit("-"), block))
+    return F.concat(F.concat_ws("-", head, falsy_to_null(scene), falsy_to_null(custom), stamp), F.lit(".json"))
+
+
+def heading_pauses(x: Column) -> Column:
+    """A point and an empty line after `Capitolo Word` and `Libro Word`, no more than one empty line anywhere."""
+    for word in ("Capitolo", "Libro"):
+        x = F.regexp_replace(x, f"\\b({word}\\s+[A-Za-zÀ-ÿ]+)\\b(?!\\.)", "$1.")
+        x = F.regexp_replace(x, f"\\b({word}\\s+[A-Za-zÀ-ÿ]+\\.)\\s*(?!\\n\\n)", "$1\n\n")
+    for title in ("Capitolo Primo", "Libro Primo"):
+        x = F.replace(x, F.lit(title + ":"), F.lit(title + "."))
+    return F.regexp_replace(F.regexp_replace(x, "\\n{3,}", "\n\n"), f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def quoted_list(items: Column) -> Column:
+    """Items in double quotes, joined by commas."""
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
+
+
+def listed(items: Column) -> Column:
+    """A list of strings as a scripting language prints it: `['a', 'b']`."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+
+
 def job_id(**parts: Column) -> Column:
     """`job-` and 12 hex digits of the SHA-256 of the `key:value` pairs in key order, joined by `|`."""
     joined = F.concat_ws("|", *[F.concat(F.lit(f"{k}:"), v.cast("string")) for k, v in sorted(parts.items())])
@@ -176,8 +230,19 @@ def ensure_prefix(x: Column, prefix: str) -> Column:
     return F.when(F.startswith(F.lower(x), F.lit(prefix.lower())), x).otherwise(F.concat(F.lit(prefix), x))
 
 
-def is_transient(message: Column, marks: tuple[str, ...] = ("429", "503", "timeout", "quota", "resource exhausted", "unavailable")) -> Column:
-    return F.coalesce(F.lower(message).rlike("|".join(marks)), F.lit(False))
+def is_transient(message: Column, marks: tuple[str, ...] = TRANSIENT) -> Column:
+    """Whether a message (in any case) holds one of the marks."""
+    return F.coalesce(reduce(or_, [F.contains(F.lower(message), F.lit(m)) for m in marks]), F.lit(False))
+
+
+def error_action(message: Column) -> Column:
+    """`pause` for exhausted quotas, else `retry` for passing faults, else `fail`."""
+    return F.when(is_transient(message, PAUSE), "pause").when(is_transient(message, RETRY), "retry").otherwise("fail")
+
+
+def retry_job_id(job: Column, attempt: Column) -> Column:
+    """The job id of a repeated attempt: `_r{n}` for the n-th retry, the id itself before any."""
+    return F.when(attempt > 0, F.concat(job, F.lit("_r"), attempt.cast("string"))).otherwise(job)
 
 
 def stage_status(done: Column, total: Column) -> Column:

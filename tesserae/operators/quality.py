@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,29 @@ def quarantine(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame,
     return marked.where(F.size("violations") == 0).drop("violations"), marked.where(F.size("violations") > 0)
 
 
+def filled(*columns: str) -> Column:
+    """Whether none of the columns is null or empty."""
+    return reduce(and_, [F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in columns])
+
+
+def input_checks(payload: Column) -> dict[str, Column]:
+    """Checks of a stage's JSON input by name: it has entities and relations, a block and a collection under one of their two names."""
+    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    has = lambda *names: reduce(or_, [F.array_contains(keys, n) for n in names])
+    return {"entities": has("entities"), "relations": has("relations"), "block_id": has("block_id", "chunk_label"), "project_id": has("project_id", "book_id")}
+
+
+def member_counts(payload: Column, *names: str) -> list[Column]:
+    """`{name}_count` for each list of a JSON object; 0 where it is missing."""
+    return [F.coalesce(F.json_array_length(F.get_json_object(payload, f"$.{n}")), F.lit(0)).alias(f"{n}_count") for n in names]
+
+
+def severities(flagged: DataFrame, flags_col: str, critical: Sequence[str]) -> DataFrame:
+    """(flag, n, critical): how often each flag but `OK` stands, and whether it is a critical one."""
+    rows = flagged.select(F.explode(flags_col).alias("flag")).where("flag <> 'OK'")
+    return rows.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).withColumn("critical", F.col("flag").isin(*critical))
+
+
 def any_filled(*arrays: str) -> Column:
     """Whether any of the arrays holds something."""
     return sum((F.coalesce(F.size(a), F.lit(0)) for a in arrays), F.lit(0)) > 0
@@ -55,7 +80,7 @@ def salvage_json_list(df: DataFrame, payload: str, schema: str) -> DataFrame:
 def between_fences(x: Column) -> Column:
     """What stands between the first pair of code fences, or the text itself."""
     inner = F.regexp_extract(x, "(?s)```(?:json)?\\s*(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(x))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(x), "^\\s+|\\s+$", "")
 
 
 def merge_sections(rows: DataFrame, keys: Sequence[str], name: str, order: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
+from .ordered import gap_to_next
+
 
 def _sum(x: Column, f) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + f(v.cast("double")))
@@ -91,6 +95,12 @@ def mix(layers: DataFrame, group: str, mode: str) -> DataFrame:
     return layers.where(F.col("layer").isin(held)).groupBy(group, "sample_idx").agg(F.sum("value").alias("value"))
 
 
+def pause_stats(intervals: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, least: float = 0.05) -> DataFrame:
+    """(keys, pauses, mean, longest): gaps of more than `least` between each interval and the next one in order."""
+    gaps = intervals.select(*keys, gap_to_next(F.col(start), F.col(end), keys, order).alias("gap")).where(F.col("gap") > least)
+    return gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("pauses"), F.avg("gap").alias("mean"), F.max("gap").alias("longest"))
+
+
 def frame_rms(x: np.ndarray, frame: int = 2048, hop: int = 512) -> np.ndarray:
     """RMS of centred, zero-padded frames."""
     padded = np.pad(np.asarray(x, np.float64), frame // 2)

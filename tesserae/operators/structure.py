@@ -37,9 +37,8 @@ def headings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, kind, pos, number, title): the headings of each text's own kind; numbers only where the kind has them, the
     first of each number by position."""
     rows = heading_rows(docs, id_col, text_col)
-    word = F.lower(F.regexp_extract("line", "^(\\p{L}+)", 1))
-    keyword = F.try_element_at(F.create_map(*[F.lit(v) for item in KEYWORDS.items() for v in item]), word)
-    appendix = F.when(word.isin("coda", "appendice", "appendix"), 900 + F.coalesce(F.regexp_extract("line", "(\\d+)", 1).try_cast("int"), F.lit(0)))
+    keyword = F.try_element_at(F.create_map(*[F.lit(v) for item in KEYWORDS.items() for v in item]), F.lower("line"))
+    appendix = F.when(F.col("line").rlike("(?i)^(Coda|Cado|Appendice|Appendix)\\s+\\d+\\s*[:\\-]"), 900 + F.coalesce(F.regexp_extract("line", "(\\d+)", 1).try_cast("int"), F.lit(0)))
     bare = F.when(F.col("line").rlike("^\\d{1,3}$"), F.col("line").try_cast("int"))
     number = F.coalesce(keyword, appendix, bare)
     numbered = rows.where("kind = 'numbered'").withColumn("number", number).where(F.col("number").isNotNull())
@@ -85,18 +84,43 @@ def boundaries(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFram
     return slices(headings(docs, id_col, text_col), docs, id_col, text_col)
 
 
+def profile_number(title: Column) -> Column:
+    """The heading number that a profile's title stands for: a plain integer, a prologue or epilogue, or the n-th coda or appendix."""
+    t = F.trim(title)
+    coda = F.regexp_extract(F.lower(t), "^(?:coda|cado|appendice|appendix)\\s+(\\d+)", 1)
+    keyword = F.try_element_at(F.create_map(*[F.lit(v) for item in KEYWORDS.items() for v in item]), F.lower(t))
+    return F.coalesce(F.when(coda != "", 900 + coda.try_cast("int")), keyword, t.try_cast("int"))
+
+
 def match_profile(detected: DataFrame, profile: DataFrame, id_col: str) -> DataFrame:
-    """Names for detected headings from a profile (id, number, name): by number if at least half of the profile's sections (and
-    one) are met, else by position. detected: (id, pos, number)."""
-    w = Window.partitionBy(id_col).orderBy("pos")
-    d = detected.withColumn("ordinal", F.row_number().over(w))
-    p = profile.select(F.col(id_col).alias("__id"), F.col("number").alias("__number"), "name")
-    by_number = d.join(p, (F.col(id_col) == F.col("__id")) & (F.col("number") == F.col("__number")), "left").drop("__id", "__number").withColumnRenamed("name", "by_number")
-    by_place = p.withColumn("ordinal_", F.row_number().over(Window.partitionBy("__id").orderBy("__number"))).withColumn("sections", F.count(F.lit(1)).over(Window.partitionBy("__id")))
-    joined = by_number.join(by_place, (F.col(id_col) == F.col("__id")) & (F.col("ordinal") == F.col("ordinal_")), "left").withColumnRenamed("name", "by_place")
-    met = F.count("by_number").over(Window.partitionBy(id_col))
-    enough = met >= F.greatest(F.lit(1), F.floor(F.max("sections").over(Window.partitionBy(id_col)) / 2))
-    return joined.select(id_col, "pos", "number", F.when(enough, F.col("by_number")).otherwise(F.col("by_place")).alias("name"))
+    """(id, pos, section, name): detected numbered headings (id, pos, number) under the names of a profile (id, section from 1, name).
+
+    Sections are met by the numbers their titles stand for; if at least half of a profile's sections (and one) are met, those are the result, else the
+    first headings are given the first names by position."""
+    p = profile.select(F.col(id_col).alias("__id"), "section", "name", profile_number(F.col("name")).alias("__number"))
+    of_number = p.where("__number is not null").groupBy("__id", "__number").agg(F.max_by(F.struct("section", "name"), "section").alias("s"))
+    met = detected.join(of_number, (F.col(id_col) == F.col("__id")) & (F.col("number") == F.col("__number"))).select(id_col, "s.section", "s.name", "pos")
+    met = met.groupBy(id_col, "section", "name").agg(F.max("pos").alias("pos"))
+    sizes = p.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
+    hits = met.groupBy(F.col(id_col).alias("__m")).agg(F.count(F.lit(1)).alias("__met"))
+    enough = sizes.join(hits, F.col("__id") == F.col("__m"), "left").select("__id", (F.coalesce("__met", F.lit(0)) >= F.greatest(F.lit(1), F.floor(F.col("__n") / 2))).alias("__enough"))
+    by_number = met.join(enough.where("__enough").select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
+    placed = detected.withColumn("__place", F.row_number().over(Window.partitionBy(id_col).orderBy("pos", "number")))
+    by_place = placed.join(p.drop("__number"), (F.col(id_col) == F.col("__id")) & (F.col("__place") == F.col("section"))).drop("__id")
+    by_place = by_place.join(enough.where("not __enough").select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
+    columns = [id_col, "pos", "section", "name"]
+    return by_number.select(*columns).unionByName(by_place.select(*columns))
+
+
+def locate_titles(docs: DataFrame, profile: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, section, name, pos): where the titles of a profile (id, section, name) head a line of the text. Only the part before `: ` is looked
+    for, in any case, and only if it begins with a heading word; titles without one, or not found, are at 0."""
+    p = profile.select(F.col(id_col).alias("__id"), "section", "name", F.trim(F.substring_index("name", ": ", 1)).alias("__prefix"))
+    got = docs.select(id_col, F.col(text_col).alias("__text")).join(p, F.col(id_col) == F.col("__id"))
+    worded = F.lower("__prefix").rlike("^(capitolo|chapter|parte) ")
+    pattern = F.concat(F.lit("(?isu)^(.*?)(^|\\n)[ \\t]*"), F.regexp_replace("__prefix", "([\\\\^$.|?*+()\\[\\]{}])", "\\\\$1"))
+    before = F.expr("length(regexp_extract(__text, __pattern, 1)) + length(regexp_extract(__text, __pattern, 2))")
+    return got.withColumn("__pattern", pattern).select(id_col, "section", "name", F.when(worded, before).otherwise(0).alias("pos"))
 
 
 def section_positions(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame, name: str) -> DataFrame:

@@ -67,3 +67,33 @@ def replay_or_submit(requests: DataFrame, results: DataFrame, key: str) -> DataF
 def run_batches(rows: DataFrame, process, schema: str) -> DataFrame:
     """The user's stage function over Arrow batches: pandas frame in, pandas frame out; rows that it leaves out are dropped."""
     return rows.mapInPandas(lambda batches: (process(b) for b in batches), schema)
+
+
+def last_checkpoint(marks: DataFrame, key: str, stage: str, time: str) -> DataFrame:
+    """(key, stage, at): the stage written last for each collection."""
+    return marks.groupBy(key).agg(F.max_by(stage, time).alias(stage), F.max(time).alias("at"))
+
+
+def stage_barrier(totals: DataFrame, completed: DataFrame, queued: DataFrame, key: Sequence[str]) -> DataFrame:
+    """totals (key, total) with completed, queued and open: a stage is passed when all of it is completed and nothing is queued."""
+    got = totals.join(completed.groupBy(*key).agg(F.count(F.lit(1)).alias("completed")), list(key), "left")
+    got = got.join(queued.groupBy(*key).agg(F.count(F.lit(1)).alias("queued")), list(key), "left").fillna(0, ["completed", "queued"])
+    return got.withColumn("open", ~((F.col("completed") >= F.col("total")) & (F.col("queued") == 0)))
+
+
+def control_states(actions: DataFrame, key: str, action: str, time: str) -> DataFrame:
+    """(key, status, semaphore) after the actions start, resume, suspend and stop; suspending leaves the status; other actions are none."""
+    known = actions.where(F.col(action).isin("start", "resume", "suspend", "stop"))
+    status = F.max_by(F.when(F.col(action) == "stop", "stopped").otherwise("running"), F.when(F.col(action) != "suspend", F.col(time)))
+    return known.groupBy(key).agg(status.alias("status"), F.when(F.max_by(action, time).isin("start", "resume"), "green").otherwise("red").alias("semaphore"))
+
+
+def gated(rows: DataFrame, auto_push: bool = False) -> DataFrame:
+    """Rows for the next stage: none unless pushing is switched on."""
+    return rows if auto_push else rows.limit(0)
+
+
+def expired(tasks: DataFrame, now: Column) -> DataFrame:
+    """tasks, zombies rewritten as TIMEOUT with the time of the reading."""
+    zombie = is_zombie(F.col("status"), F.col("updated_at"), now)
+    return tasks.withColumns({"updated_at": F.when(zombie, now).otherwise(F.col("updated_at")), "status": F.when(zombie, "TIMEOUT").otherwise(F.col("status"))})

@@ -11,8 +11,8 @@ from .ordered import forward_fill, running_before, with_islands
 
 #: Volumes in decibels, ducking depths in decibels and fades in milliseconds.
 VOLUMES = {"ambient": -28.0, "spot": -12.0, "accent": -6.0, "motif": -10.0}
-DUCK_DEPTH = {"shallow": -8.0, "medium": -14.0, "deep": -20.0}
-FADE_MS = {"fast": 80, "medium": 180, "smooth": 180, "slow": 400}
+DUCK_DEPTH = {"none": 0.0, "light": -8.0, "shallow": -8.0, "medium": -14.0, "deep": -20.0, "heavy": -20.0}
+FADE_MS = {"instant": 30, "snap": 30, "sharp": 60, "smooth": 180, "slow": 400}
 
 
 def offsets(units: DataFrame, keys: Sequence[str], order: Sequence[str], voice: str, pause: str) -> DataFrame:
@@ -40,16 +40,16 @@ def section_marks(units: DataFrame, keys: Sequence[str], order: Sequence[str], s
 
 
 def arc_tags(segments: DataFrame, keys: Sequence[str], order: Sequence[str], intensity: str) -> DataFrame:
-    """segments with tag: Intro for the first, Outro for the last, Pre-Chorus for a mid one before a high one, else by intensity."""
+    """segments with tag: Intro for the first, Outro for the last, Pre-Chorus for a mid one before a high one, none for low ones, Chorus for high ones, else Verse."""
     w = Window.partitionBy(*keys).orderBy(*order)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    level = F.col(intensity)
+    level = F.coalesce(F.col(intensity), F.lit("mid"))
     tag = (
         F.when(F.row_number().over(w) == 1, "Intro")
         .when(F.row_number().over(w) == n, "Outro")
         .when((level == "mid") & (F.lead(level).over(w) == "high"), "Pre-Chorus")
-        .when(level == "mid", "Verse")
         .when(level == "high", "Chorus")
+        .when(level != "low", "Verse")
     )
     return segments.withColumn("tag", tag)
 

@@ -141,15 +141,16 @@ def stage_file_counts(spark, sf_dir):
     return got.groupBy("source").agg(F.count(F.lit(1)).alias("a"), F.count("has").alias("b"), F.count_if(F.col("toxic") == 1).alias("c"))
 
 
-@query("lyric_lines", """WITH a AS (SELECT conv_id, turn * 47.25e0 AS start_s, CASE turn % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS intensity, CASE WHEN turn % 2 = 0 THEN '[a-1]. Rises ' || role || '.' END AS item, turn FROM conversations),
-  t AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN '[Intro]' WHEN row_number() OVER w = count(*) OVER (PARTITION BY conv_id) THEN '[Outro]' WHEN intensity = 'mid' AND lead(intensity) OVER w = 'high' THEN '[Pre-Chorus]' WHEN intensity = 'mid' THEN '[Verse]' WHEN intensity = 'high' THEN '[Chorus]' ELSE 'None' END AS tag,
+@query("lyric_lines", """WITH a AS (SELECT conv_id, turn * 47.25e0 AS start_s, ['low', 'mid', 'high', 'odd'][turn % 4 + 1] AS intensity, CASE turn % 4 WHEN 0 THEN '[a-1]. Rises ' || role || '.' WHEN 3 THEN 'no tag' END AS item, CASE WHEN turn % 5 < 3 THEN 'note ' || turn END AS note FROM conversations),
+  t AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN '[Intro]' WHEN row_number() OVER w = count(*) OVER (PARTITION BY conv_id) THEN '[Outro]' WHEN intensity = 'mid' AND lead(intensity) OVER w = 'high' THEN '[Pre-Chorus]' WHEN intensity = 'high' THEN '[Chorus]' WHEN intensity = 'low' THEN 'None' ELSE '[Verse]' END AS tag,
     CAST((start_s + 1) * 100 AS BIGINT) AS cs FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY start_s))
-  SELECT conv_id, start_s, printf('[%02d:%02d.%02d]', cs // 6000, cs % 6000 // 100, cs % 100) || tag || ' ' || coalesce(regexp_extract(item, '\\. (.+)\\.$', 1), 'note ' || turn) AS lyric FROM t""")
+  SELECT conv_id, start_s, printf('[%02d:%02d.%02d]', cs // 6000, cs % 6000 // 100, cs % 100) || ' ' || tag || ' ' || CASE WHEN item IS NOT NULL THEN coalesce(nullif(regexp_extract(item, '\\. (.+)\\.$', 1), ''), note, '') ELSE coalesce(note, upper(intensity[1]) || intensity[2:] || ' section.') END AS lyric FROM t""")
 def lyric_lines(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    level = F.when(F.col("turn") % 3 == 0, "low").when(F.col("turn") % 3 == 1, "mid").otherwise("high")
-    item = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("[a-1]. Rises "), "role", F.lit(".")))
-    s = c.select("conv_id", (F.col("turn") * 47.25).alias("start_s"), level.alias("intensity"), item.alias("roadmap_item"), F.concat(F.lit("note "), F.col("turn").cast("string")).alias("note"))
+    t = F.col("turn")
+    level = F.element_at(F.array(*map(F.lit, ("low", "mid", "high", "odd"))), (t % 4 + 1).cast("int"))
+    item = F.when(t % 4 == 0, F.concat(F.lit("[a-1]. Rises "), "role", F.lit("."))).when(t % 4 == 3, "no tag")
+    s = c.select("conv_id", (t * 47.25).alias("start_s"), level.alias("intensity"), item.alias("roadmap_item"), F.when(t % 5 < 3, F.concat(F.lit("note "), t.cast("string"))).alias("note"))
     return C.lyric_lines(s, ["conv_id"]).select("conv_id", "start_s", "lyric")
 
 

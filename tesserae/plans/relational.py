@@ -343,7 +343,12 @@ def merge_sections(spark, sf_dir):
     return Q.merge_sections(table(spark, sf_dir, "documents"), ["source"], "lang", "doc_id").select("source", "name", "section_id")
 
 
-@query("merge_best_record")
+@query(
+    "merge_best_record",
+    """WITH d AS (SELECT source, lang, doc_id, n_chars AS score, CASE WHEN doc_id % 5 = 0 THEN 'primary' WHEN doc_id % 5 < 3 THEN 'secondary' ELSE 'tactical' END AS role, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 5 < 3 THEN 2 ELSE 1 END AS rank FROM documents),
+         t AS (SELECT a.* FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.source = a.source AND b.lang = a.lang AND b.doc_id < a.doc_id AND b.score >= a.score))
+       SELECT source, lang, max(doc_id) AS doc_id, max(score) AS score, arg_max(role, rank) AS role FROM t GROUP BY 1, 2""",
+)
 def merge_best_record(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(
         "source", "lang", "doc_id", F.col("n_chars").alias("score"), F.when(F.col("doc_id") % 5 == 0, "primary").when(F.col("doc_id") % 5 < 3, "secondary").otherwise("tactical").alias("role")

@@ -33,7 +33,7 @@ def test_nulls(spark):
     assert values(spark, "string", [None, ""], X.word_count) == [0, 0]
 
 
-@pytest.mark.parametrize(("text", "number"), [("XIV", 14), ("iv:", 4), ("Third", 3), ("DECIMO.", 10), ("12", 12), ("007", 7), ("blah", None), ("", None), (None, None), ("XXXI", None)])
+@pytest.mark.parametrize(("text", "number"), [("XIV", 14), ("iv:", 4), ("Third", 3), ("DECIMO.", 10), ("undici", 11), ("Ventesimo:", 20), ("trenta", 30), (":V", None), ("ventitré", 23), ("12", 12), ("007", 7), ("blah", None), ("", None), (None, None), ("XXXI", None)])
 def test_ordinals(spark, text, number):
     assert values(spark, "string", [text], X.parse_ordinal) == [number]
 
@@ -51,7 +51,8 @@ def test_titles(spark):
 def test_retry_and_transient(spark):
     texts = ["retryDelay: 30s", '"retryDelay": "7s"', "no delay", None]
     assert values(spark, "string", texts, X.retry_delay) == [35, 12, 65, 65]
-    assert values(spark, "string", ["HTTP 429", "TimeOut", "bad", None], X.is_transient) == [True, True, False, False]
+    assert values(spark, "string", ["HTTP 429", "TimeOut", "bad", None, "high demand", "Network error", "quota"], X.is_transient) == [True, True, False, False, True, True, False]
+    assert values(spark, "string", ["429", "503", "x", "RESOURCE_EXHAUSTED 503"], X.error_action) == ["pause", "retry", "fail", "pause"]
 
 
 def test_clocks(spark):

@@ -106,16 +106,27 @@ def test_structure_kinds_and_sections(spark):
 
 
 def test_profile_matching(spark):
-    found = spark.createDataFrame([(1, 0, 1), (1, 10, 2), (2, 0, None), (2, 9, None)], "id int, pos int, number int")
-    profile = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (1, 3, "Three"), (2, 1, "Uno"), (2, 2, "Due")], "id int, number int, name string")
-    assert rows(structure.match_profile(found, profile, "id").select("id", "pos", "name")) == [(1, 0, "One"), (1, 10, "Two"), (2, 0, "Uno"), (2, 9, "Due")]
+    found = spark.createDataFrame([(1, 5, 1), (1, 10, 2), (1, 20, 901), (2, 0, 7), (2, 9, 8), (2, 12, 9), (3, 4, 0), (3, 8, 998)], "id int, pos int, number int")
+    profile = spark.createDataFrame(
+        [(1, 1, "Prologo"), (1, 2, "1"), (1, 3, "2"), (1, 4, "Coda 1: end"), (2, 1, "Uno"), (2, 2, "Due"), (3, 1, "Prologue"), (3, 2, "middle"), (3, 3, "EPILOGO")], "id int, section int, name string"
+    )
+    got = rows(structure.match_profile(found, profile, "id").select("id", "pos", "section", "name"))
+    assert sorted(got) == [(1, 5, 2, "1"), (1, 10, 3, "2"), (1, 20, 4, "Coda 1: end"), (2, 0, 1, "Uno"), (2, 9, 2, "Due"), (3, 4, 1, "Prologue"), (3, 8, 3, "EPILOGO")]
+
+
+def test_a_missing_grid_aborts(spark):
+    units = spark.createDataFrame([(1, 1), (1, 2)], "p int, u int")
+    grid = spark.createDataFrame([(1, 1, 2.5), (9, 1, 1.0)], "p int, u int, s double")
+    assert rows(joins.required_grid(units, grid, "p", "u", {"s": 0.0})) == [(1, 1, 2.5), (1, 2, 0.0)]
+    with pytest.raises(Exception, match="no timing for 2"):
+        joins.required_grid(units.unionByName(spark.createDataFrame([(2, 1)], "p int, u int")), grid, "p", "u", {"s": 0.0}).collect()
 
 
 def test_marks_and_lyrics(spark):
     u = spark.createDataFrame([(1, 0, None, 100), (1, 1, "b", 50), (1, 2, None, 50), (1, 3, "a", 10), (1, 4, "b", 5)], "k int, i int, s string, ms int")
     assert rows(timeline.section_marks(u, ["k"], ["i"], "s", "ms")) == [(1, 0, "chapter_001", 0, 100), (1, 1, "b", 100, 200), (1, 2, "a", 200, 210), (1, 3, "b", 210, 215)]
     a = spark.createDataFrame([(1, 0.0, "low", None, None), (1, 60.0, "low", "[x]. Falls.", None), (1, 125.5, "high", None, "loud")], "k int, start_s double, intensity string, roadmap_item string, note string")
-    assert [r.lyric for r in cues.lyric_lines(a, ["k"]).orderBy("start_s").collect()] == ["[00:01.00][Intro] Intensity section.", "[01:01.00]None Falls", "[02:06.50][Outro] loud"]
+    assert [r.lyric for r in cues.lyric_lines(a, ["k"]).orderBy("start_s").collect()] == ["[00:01.00] [Intro] Low section.", "[01:01.00] None Falls", "[02:06.50] [Outro] loud"]
 
 
 def test_signal_metrics_against_numpy(spark):
