@@ -5,7 +5,7 @@ inside a band. A document's distinct kept terms, sorted, are hashed: the whole s
 subsets. Subset (r, s) holds the terms whose r-th random number has s zero bits, so 1 in 2^s of the lexicon; documents of any
 length have subsets with one or a few of their terms, which survive edits elsewhere.
 
-A fingerprint is 4 hex digits for each of the 31 hashes, `....` for an empty subset. A text none of whose terms lies in the band
+A fingerprint is 4 hex digits for each of the 91 hashes, `....` for an empty subset. A text none of whose terms lies in the band
 keeps all its terms; a text without terms gets `=` and the MD5 of the text instead. Likeness: 1 for equal fingerprints, else the largest share, over the subset sizes, of
 subsets that agree among those that are filled on either side (at least 3 are counted); 0 against a fingerprint without
 terms.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-REPLICAS, SIZES = 6, (2, 4, 6, 8, 10)
+REPLICAS, SIZES = 10, (1, 2, 3, 4, 5, 6, 7, 8, 9)
 
 
 def term_hashes(text: Column) -> Column:
@@ -61,7 +61,9 @@ def fingerprint_of(terms: Column, text: Column) -> Column:
     for r in range(REPLICAS):
 
         def cut(acc: Column, mask: Column, r: int) -> Column:
-            subset = F.filter(acc["t"], lambda x: F.shiftrightunsigned(x, 10 * r).bitwiseAND(mask) == 0)
+            # six replicas have bits of the term's hash, the others those of its hash
+            bits = lambda x: F.shiftrightunsigned(x if r < 6 else F.xxhash64(x), 10 * (r % 6))
+            subset = F.filter(acc["t"], lambda x: bits(x).bitwiseAND(mask) == 0)
             digits = lambda t: F.when(F.size(t) == 0, "....").otherwise(_short(F.xxhash64(t)))
             return F.transform(F.array(subset), lambda t: F.struct(t.alias("t"), F.concat(acc["o"], digits(t)).alias("o")))[0]
 

@@ -1,8 +1,14 @@
+import functools
 import hashlib
 import math
 import random
+import struct
 from collections import Counter
 
+import pytest
+import regex
+import xxhash
+
 from tesserae.llm import imatch as I
 
 SCHEMA = "doc_id long, text string, n_chars string, fingerprint string, c string"
@@ -84,3 +90,58 @@ def test_null_and_repeated_ids(spark):
         want.append((None if none else i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(want)
     assert sum(r.near_next == 1.0 for r in got if r.doc_id == long[2][0]) >= 3
+
+
+def brute_fingerprint(text, lex):
+    """The fingerprint from its definition: XXH64 of terms, chained through sorted arrays."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    digest = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed & (1 << 64) - 1)
+    chain = lambda ts: functools.reduce(lambda seed, t: digest(struct.pack("<q", t), seed), ts, 42) & 0xFFFF
+    every = sorted({signed(digest(w.encode())) for w in regex.findall(r"[\p{L}\p{N}]+", text.lower())})
+    terms = [t for t in every if t in lex] or every
+    if not terms:
+        return "=" + hashlib.md5(text.encode()).hexdigest()
+    out = f"{chain(terms):04x}"
+    for r in range(10):
+        for s in range(1, 10):
+            bits = [(t if r < 6 else digest(struct.pack("<q", t))) % (1 << 64) >> 10 * (r % 6) for t in terms]
+            subset = [t for t, b in zip(terms, bits, strict=True) if b % (1 << s) == 0]
+            out += f"{chain(subset):04x}" if subset else "...."
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if "=" in (a[0], b[0]):
+        return 0.0
+    best = 0.0
+    for k in range(9):
+        pairs = [(a[4 + 4 * (9 * r + k) :][:4], b[4 + 4 * (9 * r + k) :][:4]) for r in range(10)]
+        filled = sum(x != "...." or y != "...." for x, y in pairs)
+        best = max(best, sum(x == y != "...." for x, y in pairs) / max(filled, 3))
+    return best
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    from tesserae.llm.queries import op7_imatch_fingerprints
+
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    seen = Counter(w for _, t in docs for w in set(regex.findall(r"[\p{L}\p{N}]+", t.lower())))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    lex = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w, n in seen.items() if 3.0 <= math.log(len(docs) / n) <= 5.3}
+    got = {r.doc_id: r for r in op7_imatch_fingerprints(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for (i, t), (_, following) in zip(docs, [*docs[1:], docs[0]], strict=True):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + following[:q]
+        r, prints = got[i], [brute_fingerprint(x, lex) for x in (t, edited, following)]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (prints[0], prints[1])
+        assert r.near_edited == pytest.approx(brute_likeness(prints[0], prints[1])) and r.near_next == pytest.approx(brute_likeness(prints[0], prints[2]))
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000 + " ".join(f"w{k}" for k in range(50_000))), (2, "x" * 1_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in I.edit_likeness(docs, I.lexicon(docs)).collect()}
+    assert got[1].n_chars > 2_000_000 and 0 <= got[1].near_edited <= 1
