@@ -15,6 +15,7 @@ the language first by code point. An empty table gives an empty result. Very lon
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Collection, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 SIZE = 1 << 13
 _PIECE = 1 << 18
+_CODE = re.compile(r"[0-9@]")
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -138,16 +140,25 @@ def identify(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col:
     ).withColumnRenamed("id", id_col)
 
 
+def without_codes(text: str | None) -> str | None:
+    """The words of a text without those that hold digits or an @ (numbers, addresses, keys), which say nothing of its language; the text itself, if
+    no letter is left."""
+    if text is None:
+        return None
+    plain = " ".join(w for w in text.split() if not _CODE.search(w))
+    return plain if has_letter(plain) else text
+
+
 def keep_identified(
     docs: DataFrame, model: Mixture, text_col: str = "text", languages: Collection[str] | None = None, min_share: float = 0.6
 ) -> DataFrame:
     """The rows of docs whose main language is one of `languages` (any learned one, if None) and holds at least `min_share` of the
-    text's n-grams, all columns as they are. Texts without a letter, mixtures without a main language, and texts of other
+    text's n-grams (those of words with digits or an @ left out), all columns as they are. Texts without a letter, mixtures without a main language, and texts of other
     languages go."""
     at = docs.columns.index(text_col)
 
     def wanted(text: str | None) -> bool:
-        lang, share, _ = model.predict(text)
+        lang, share, _ = model.predict(without_codes(text))
         return lang != "und" and share >= min_share and (languages is None or lang in languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

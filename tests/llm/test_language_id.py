@@ -53,6 +53,8 @@ def test_mixtures_and_unwanted_languages_go(spark):
     rows = [(1, text(rnd, "xx", 60), "zz"), (2, text(rnd, "yy", 60), None), (3, half, "xx"), (4, "12 34", "xx"), (5, None, "xx"), (6, text(rnd, "zz", 60), "zz")]
     kept = lambda **how: sorted(r.doc_id for r in L.keep_identified(frame(spark, rows), model, **how).collect())
     assert kept() == [1, 2, 6]
+    noisy = [(7, text(rnd, "xx", 9) + " +1 (269) 555-3296 nm.22@mail7.example.com 4524132264652876", "xx"), (8, "x1 y2", None)]
+    assert [r.doc_id for r in L.keep_identified(frame(spark, noisy), model).collect()][:1] == [7]
     assert kept(languages=["xx", "yy"]) == [1, 2]
     assert kept(min_share=0.0) == [1, 2, 3, 6]
 
