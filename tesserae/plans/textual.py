@@ -148,7 +148,7 @@ def placeholder_prompts(spark, sf_dir):
 
 @query(
     "structure_kind",
-    """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|\n)[ \t]*(Capitolo|Chapter|Parte)\s+\S+\s*[:\-]')) AS t, len(regexp_extract_all(text, '(?:^|\n)[ \t]*\d{1,3}[ \t]*\n')) AS n,
+    r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|\n)[ \t]*(Capitolo|Chapter|Parte)\s+\S+\s*[:\-]')) AS t, len(regexp_extract_all(text, '(?:^|\n)[ \t]*\d{1,3}[ \t]*\n')) AS n,
          len(regexp_extract_all(text, '(?:^|\n)[ \t]*([A-Z][A-Z\s''"À-Ü]{5,})[ \t]*\n')) AS c FROM documents)
        SELECT doc_id, CASE WHEN t = 0 AND n = 0 AND c = 0 THEN 'plain' WHEN t >= n AND t >= c THEN 'titled' WHEN n >= c THEN 'numbered' ELSE 'capitals' END AS kind FROM c""",
 )
