@@ -38,9 +38,15 @@ def durable(df: DataFrame, files: int | None = None) -> DataFrame:
     return table
 
 
-def files_for(rows: int) -> int:
-    """Files for a narrow table of so many rows: more would be too small to be worth a task each."""
-    return 8 + rows // 250_000
+def files_for(rows: int, each: int = 250_000, least: int = 8) -> int:
+    """The most files for a table of so many rows, of which `each` are worth a file and a task: narrow ones by default, fewer
+    where a row takes work (`row_files`)."""
+    return least + rows // each
+
+
+def row_files(rows: int) -> int:
+    """The most files for a table whose rows each take the work of a text."""
+    return files_for(rows, 20_000, 24)
 
 
 def release(*tables: DataFrame) -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, files_for, row_files
 from .components import connected_components
 
 
@@ -184,10 +184,12 @@ def embedding_components(
     usable = v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda e: e != 0)
     # a vector's digest: 128 bits, so that copies meet without moving vectors
     digest = [F.when(usable, F.xxhash64(F.lit(k), F.size(v), v)).alias(f"h{k}") for k in (1, 2)]
-    of_row = durable(rows.select("id", *digest))
+    total = vectors.count()
+    of_row = durable(rows.select("id", *digest), row_files(total))
     reps = durable(
         rows.where(usable).select("id", "v", *digest).groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("node", F.coalesce("id", F.col("h1").bitwiseOR(F.lit(-(1 << 63)).cast("long"))))
+        .withColumn("node", F.coalesce("id", F.col("h1").bitwiseOR(F.lit(-(1 << 63)).cast("long")))),
+        row_files(total),
     )
     found = None
     for length, n in sorted(tuple(r) for r in reps.groupBy(F.size(v)).count().collect()):  # a row for each length of vectors
@@ -198,11 +200,12 @@ def embedding_components(
     if found is None:
         found = rows.sparkSession.createDataFrame([], "node long, other long, n long")
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("found"))
-    comp = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    comp = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), total)
     named = durable(
         reps.select("h1", "h2", "node", "copies").join(counts, "node", "left")
         .join(comp.select(F.col("node").alias("node_"), "root"), F.col("node") == F.col("node_"), "left")
-        .select("h1", "h2", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
+        .select("h1", "h2", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")),
+        files_for(total),
     )
     linked = of_row.where("h1 is not null").join(named, ["h1", "h2"]).select("id", "n", "root")
     alone = of_row.where("h1 is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))
@@ -230,17 +233,18 @@ def _found(reps: DataFrame, index: MultiIndex, cosine: float, chunk: int) -> Dat
                 )
 
     kind = reps.schema["v"].dataType.simpleString()
-    placed = durable(reps.select("node", "copies", "v").mapInArrow(visit, f"node long, copies long, v {kind}, cell long, dense int, visits array<long>"))
+    placed = durable(reps.select("node", "copies", "v").mapInArrow(visit, f"node long, copies long, v {kind}, cell long, dense int, visits array<long>"), row_files(reps.count()))
     # visitors of each part of a cell: all of the cell's, but for those of the part's own dense group
     own = placed.groupBy("cell", "dense").agg(F.count(F.lit(1)).alias("n_own"))
-    guests = durable(placed.select(F.explode("visits").alias("cell"), F.col("dense").alias("from")).groupBy("cell", "from").agg(F.count(F.lit(1)).alias("n")))
+    guests = durable(placed.select(F.explode("visits").alias("cell"), F.col("dense").alias("from")).groupBy("cell", "from").agg(F.count(F.lit(1)).alias("n")), 24)
     every = guests.groupBy("cell").agg(F.sum("n").alias("n_all"))
     kin = guests.where(F.col("from") >= 0).withColumnRenamed("from", "dense")
     sized = own.join(every, "cell").join(kin, ["cell", "dense"], "left").withColumn("n_guests", F.col("n_all") - F.coalesce("n", F.lit(0)))
     parts = durable(
         sized.where("n_guests > 0").select(
             "cell", F.col("dense").alias("part"), F.ceil(F.col("n_own") / chunk).cast("int").alias("p"), F.ceil(F.col("n_guests") / chunk).cast("int").alias("q")
-        )
+        ),
+        24,
     )
     parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
     host = placed.select("node", "copies", "v", "cell", "dense", F.lit(True).alias("host"), F.col("cell").alias("home"))
@@ -273,4 +277,4 @@ def _found(reps: DataFrame, index: MultiIndex, cosine: float, chunk: int) -> Dat
     members = placed.where("dense >= 0").select("node", "copies", "dense").join(F.broadcast(groups), "dense")  # as many groups as pivots, of which the sample of 4000 gives at most 400
     inside = members.select("node", F.lit(None).cast("long").alias("other"), (F.col("total") - F.col("copies")).alias("n"))
     ties = members.where("node <> first").select("node", F.col("first").alias("other"), F.lit(0).cast("long").alias("n"))
-    return durable(compared.unionByName(inside.where("n > 0")).unionByName(ties))
+    return durable(compared.unionByName(inside.where("n > 0")).unionByName(ties).repartition(row_files(reps.count())))

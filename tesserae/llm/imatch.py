@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, files_for, row_files
 
 REPLICAS, SIZES = 10, (1, 2, 3, 4, 5, 6, 7, 8, 9)
 
@@ -105,8 +105,9 @@ def ring(rows: DataFrame, id_col: str, carry: str) -> DataFrame:
 
     Needs ids that are unique and not null. Rows are sorted in range partitions; only each partition's ends are brought
     together."""
-    n = max(1, rows.count() // 65536)
-    parts = durable(rows.select(F.col(id_col).alias("id"), F.col(carry).alias("c")).repartitionByRange(n, "id").withColumn("pid", F.spark_partition_id()))
+    total = rows.count()
+    n = max(1, total // 65536)
+    parts = durable(rows.select(F.col(id_col).alias("id"), F.col(carry).alias("c")).repartitionByRange(n, "id").withColumn("pid", F.spark_partition_id()), files_for(total))
     w, row = Window.partitionBy("pid").orderBy("id"), F.struct("id", "c")
     inside = parts.withColumn("next", F.lead("id").over(w)).withColumn("prev", F.lag(row).over(w))
     ends = parts.groupBy("pid").agg(F.min("id").alias("first"), F.max_by(row, "id").alias("last"))
@@ -114,7 +115,8 @@ def ring(rows: DataFrame, id_col: str, carry: str) -> DataFrame:
     ends = durable(
         ends.select(
             "pid", F.coalesce(F.lead("first").over(order), F.first("first").over(all_)).alias("after"), F.coalesce(F.lag("last").over(order), F.last("last").over(all_)).alias("before")
-        )
+        ),
+        8,
     )
     return inside.join(ends, "pid").select(
         F.col("id").alias(id_col),
@@ -134,9 +136,9 @@ def edit_likeness(docs: DataFrame, lex: list[int], id_col: str = "doc_id", text_
     Texts are shuffled once, by id and hash; of the next document only the quarter that is needed moves on."""
     text, kind = F.coalesce(F.col(text_col).cast("string"), F.lit("")), docs.schema[id_col].dataType
     place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("hash"))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("place", place)
-    lengths = durable(rows.groupBy("place").agg(F.first(F.length("text").cast("long")).alias("n_chars"), F.count(F.lit(1)).alias("copies")))
-    links = durable(ring(lengths.withColumn("c", F.struct("n_chars", "copies")), "place", "c"))
+    rows, total = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("place", place), docs.count()
+    lengths = durable(rows.groupBy("place").agg(F.first(F.length("text").cast("long")).alias("n_chars"), F.count(F.lit(1)).alias("copies")), row_files(total))
+    links = durable(ring(lengths.withColumn("c", F.struct("n_chars", "copies")), "place", "c"), files_for(total))
     repeated = not lengths.where("copies > 1").isEmpty()
     texts = rows.select("place", "text")
     placed = (texts.dropDuplicates(["place"]) if repeated else texts).join(links, "place")
@@ -149,7 +151,8 @@ def edit_likeness(docs: DataFrame, lex: list[int], id_col: str = "doc_id", text_
     both = both.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 4 as int))"), "head"))
     both = with_fingerprints(both, {"text": "fingerprint", "edited": "edited_fingerprint"}, lex)
     made = durable(
-        both.select("place", "n_chars", "next", "times", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
+        both.select("place", "n_chars", "next", "times", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"),
+        row_files(total),
     )
     following = made.select(F.col("place").alias("following"), F.col("fingerprint").alias("next_fingerprint"))
     if repeated:

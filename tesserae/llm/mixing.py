@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, grouped_prefix, unsigned_order
+from .common import WORD, durable, files_for, grouped_prefix, unsigned_order
 
 #: A table of sources up to this many rows is broadcast; a longer one is joined by shuffling.
 BROADCAST_ROWS = 100_000
@@ -33,9 +33,9 @@ def _random_key(id_col: str, text_col: str, seed: int):
 
 def _sources(narrow: DataFrame, weights: Sequence[float]) -> DataFrame:
     """(source, rank, source_size, weight): rank by code point, null last, from counts over range partitions."""
-    sums = durable(narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sums = durable(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), 24)
     n = max(1, sums.count() // 8192)
-    ranged = durable(sums.repartitionByRange(n, F.col("source").asc_nulls_last()).withColumn("pid", F.spark_partition_id()))
+    ranged = durable(sums.repartitionByRange(n, F.col("source").asc_nulls_last()).withColumn("pid", F.spark_partition_id()), 24)
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("pid").count().select("pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("pid").orderBy(F.col("source").asc_nulls_last()))
@@ -47,7 +47,7 @@ def _sources(narrow: DataFrame, weights: Sequence[float]) -> DataFrame:
 def source_targets(narrow: DataFrame, weights: Sequence[float], share: float, epochs: int) -> DataFrame:
     """(source, rank, source_size, target): shares of `share` of all words by weight; a target stops at `epochs` times its
     source's size and the excess is shared again, until none is above. Each round is one small aggregation."""
-    s = durable(_sources(narrow, weights))
+    s = durable(_sources(narrow, weights), 24)
     cap = F.col("source_size") * float(epochs)
     total = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     amount, level, capped = share * total[0], share * total[0] / (total[1] or 1.0), -1
@@ -70,8 +70,8 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     narrow = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _random_key(id_col, text_col, seed).alias("key")
     )
-    narrow = durable(narrow.groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies")))
-    targets = durable(source_targets(narrow.withColumn("size", F.col("size") * F.col("copies")), weights, share, epochs))
+    narrow = durable(narrow.groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies")), files_for(docs.count(), 100_000, 24))
+    targets = durable(source_targets(narrow.withColumn("size", F.col("size") * F.col("copies")), weights, share, epochs), 24)
     small = targets.count() <= BROADCAST_ROWS
     joined = narrow.join(F.broadcast(targets) if small else targets, narrow["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     placed = grouped_prefix(joined, "rank", "key", ["id", "size"], F.col("size") * F.col("copies"), "start", narrow.count())
@@ -118,7 +118,7 @@ def mix_documents(
         F.max_by(F.when(F.col("whole") < F.col("copies"), F.col("rest") - F.col("start") - F.col("whole") * F.col("size")).otherwise(F.lit(0)), last).alias("__cut_last"),
     )
     full = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(F.lit(0)).cast("int")
-    plan = durable(targets.join(cuts, "rank", "left").select(F.col("source").alias("__source"), full.alias("__full"), *[f"__cut_{c}" for c in ("id", "key", "whole", "copies", "last")]))
+    plan = durable(targets.join(cuts, "rank", "left").select(F.col("source").alias("__source"), full.alias("__full"), *[f"__cut_{c}" for c in ("id", "key", "whole", "copies", "last")]), 24)
     small, repeated = plan.count() <= BROADCAST_ROWS, not plan.where("__cut_copies > 1").isEmpty()
     plan = F.broadcast(plan) if small else plan
     order = lambda key, i: F.struct(unsigned_order(key), i)

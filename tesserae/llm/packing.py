@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, grouped_prefix
+from .common import durable, grouped_prefix, row_files
 
 #: Fixed value: the pre-tokenisation of byte-level BPE files.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -200,7 +200,7 @@ def pack_documents(
     docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for each piece."""
-    pieces = durable(tokenize_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids))
+    pieces = durable(tokenize_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids), row_files(docs.count()))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     places = Places(minimum_bin_slack(counts, capacity))
     keyed = pieces.withColumn("key", F.xxhash64("id", "piece", "ids_crc32"))

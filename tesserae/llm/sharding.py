@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, grouped_prefix
+from .common import durable, files_for, grouped_prefix
 
 
 class Schedule:
@@ -66,17 +66,18 @@ class Schedule:
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row; the law is `bytes`."""
-    text = F.col(text_col).cast("string")
+    text, n_rows = F.col(text_col).cast("string"), docs.count()
+    files = files_for(n_rows, 100_000, 24)
     rows = durable(
         docs.select(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("text_key"),
-        )
+        ),
+        files,
     )
-    n_rows = rows.count()
-    groups = durable(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).withColumn("key", F.xxhash64("text_key")))
+    groups = durable(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).withColumn("key", F.xxhash64("text_key")), files)
     histogram = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()
     plan = Schedule(histogram.column("bytes").to_numpy(), histogram.column("n").to_numpy(), n_shards)
 
@@ -87,7 +88,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(shard)], names=["text_key", "shard"])
 
     ranked = grouped_prefix(groups, "bytes", "key", ["text_key"], F.lit(1), "rank", groups.count())
-    placed = durable(ranked.select("text_key", "bytes", F.col("rank").cast("long").alias("rank")).mapInArrow(place, "text_key binary, shard int"))
+    placed = durable(ranked.select("text_key", "bytes", F.col("rank").cast("long").alias("rank")).mapInArrow(place, "text_key binary, shard int"), files)
     put = rows.join(placed, "text_key").select("id", "size", "text_crc32", "shard", F.xxhash64("id", "text_key").alias("key"))
     return grouped_prefix(put, "shard", "key", ["id", "text_crc32"], F.lit(1), "slot", n_rows).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")

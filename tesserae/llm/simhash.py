@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, files_for, release
+from .common import durable, files_for, release, row_files
 from .components import connected_components
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -245,14 +245,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Exact: two linked fingerprints agree on one of the masks of `block_masks` at least.
     """
-    fps = durable(fingerprints(docs, id_col, text_col, shingle))
-    files = files_for(fps.count())
+    total = docs.count()
+    files = files_for(total)
+    fps = durable(fingerprints(docs, id_col, text_col, shingle), row_files(total))
     reps = durable(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), files)
     masks = block_masks(reps.count(), radius, fill)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(signed)])
     links = candidate_links(reps.select("id", "fp", F.explode(keys).alias("bucket")), ["fp"], radius)
-    comp = connected_components(links, fps.count())
+    comp = connected_components(links, total)
     named = reps.select("fp", F.col("id").alias("rep")).join(comp, F.col("rep") == F.col("node"), "left").select(
         F.col("fp").alias("fp_"), F.coalesce("root", "rep").alias("component_id")
     )
@@ -383,9 +384,9 @@ def near_duplicate_groups(
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if not texts.groupBy("id").count().where("count > 1").isEmpty():
         texts = texts.distinct()
-    sets = durable(_profiles(texts, shingle, bits, bands, rows))
-    total = sets.count()
+    total = docs.count()
     files = files_for(total)
+    sets = durable(_profiles(texts, shingle, bits, bands, rows), row_files(total))
     reps = durable(sets.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]), files)
     copied = reps.where("copies > 1").select("d1", "d2", F.col("id").alias("b"))
     same = durable(sets.select("d1", "d2", F.col("id").alias("a")).join(copied, ["d1", "d2"]).where("a <> b").select("a", "b").distinct(), files)
@@ -504,7 +505,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = near_duplicate_groups(docs, id_col, text_col, **how)
     kept = docs.join(groups.select(F.col("node").alias("__copy")), F.col(id_col) == F.col("__copy"), "left_anti")
     ids = docs.select(F.col(id_col).alias("__repeated")).where("__repeated is not null")
-    repeated = durable(ids.groupBy("__repeated").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__repeated"))
+    repeated = durable(ids.groupBy("__repeated").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__repeated"), 8)
     if repeated.isEmpty():
         return kept
     w = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns if c != id_col]))

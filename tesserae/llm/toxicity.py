@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, files_for, row_files
 
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -157,11 +157,11 @@ def learn(
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     n_known = known.count()
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity sample"), "label_id"), 11).cast("double") / float(1 << 53)
-    chosen = durable(known.where(chance < min(1.0, sample / max(n_known, 1))))
+    chosen = durable(known.where(chance < min(1.0, sample / max(n_known, 1))), 8)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most about `sample` rows of two numbers: small enough for every executor
     rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    rows = durable(rows.withColumn("same", _same_text(F.coalesce("text", F.lit("")))))
+    rows = durable(rows.withColumn("same", _same_text(F.coalesce("text", F.lit("")))).repartition(row_files(sample)))
     sizes = rows.groupBy("same", "toxic").agg(F.count(F.lit(1)).alias("copies"))
     vote = F.expr(f"{VOTE}L div copies")
     rows = rows.join(sizes, ["same", "toxic"]).select("id", "text", "toxic", "same", vote.alias("vote"))
@@ -178,7 +178,7 @@ def learn(
                 [pa.array(list(seen)), pa.array([v[0] for v in seen.values()]), pa.array([v[1] for v in seen.values()])], names=["word", "clean", "toxic"]
             )
 
-    counts = durable(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(*[(F.sum(c) / VOTE).alias(c) for c in ("clean", "toxic")]))
+    counts = durable(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(*[(F.sum(c) / VOTE).alias(c) for c in ("clean", "toxic")]), files_for(sample * 100))
     base = counts.where("word = ''").first()
     if base is None or not base.clean or not base.toxic:
         return Severity({}, np.empty(0, bool), np.zeros(COMMON), np.empty(0))

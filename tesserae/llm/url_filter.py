@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, files_for
 
 #: Blocked hosts up to this many are broadcast; more are joined by shuffling (adaptive execution splits a hot host).
 BROADCAST_ROWS = 300_000
@@ -80,17 +80,18 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suf
     own = pages.select("page_id", "host").join(known, "page_id", "left")
     counts = own.groupBy("host").agg(F.sum(F.col("bad").isNotNull().cast("double")).alias("n"), F.sum(F.coalesce(F.col("bad").cast("double"), F.lit(0.0))).alias("k"))
     domain, suffix = split_host(F.col("host"), suffixes)
-    hosts = durable(counts.withColumn("domain", domain).withColumn("suffix", suffix))
-    domains = durable(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    ends = durable(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    files = files_for(pages.count())
+    hosts = durable(counts.withColumn("domain", domain).withColumn("suffix", suffix), files)
+    domains = durable(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), files)
+    ends = durable(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), files)
     n, k = ends.agg(F.sum("n"), F.sum("k")).first()
     top = ((k or 0.0) + 0.5) / ((n or 0.0) + 1.0) if n else 0.0
     shrunk = lambda s: (F.col("k") + F.lit(s) * F.col("mean")) / (F.col("n") + F.lit(s))
     ends = ends.withColumn("mean", F.lit(top))
     means = ends.select("suffix", shrunk(_strength(ends)).alias("mean"))
-    domains = durable(domains.join(means, "suffix"))
+    domains = durable(domains.join(means, "suffix"), files)
     means = domains.select("domain", shrunk(_strength(domains)).alias("mean"))
-    hosts = durable(hosts.join(means, "domain"))
+    hosts = durable(hosts.join(means, "domain"), files)
     s = _strength(hosts)
     return (
         hosts.withColumn("share", shrunk(s))
@@ -121,8 +122,8 @@ def judge_urls(
     if len(rules) > 1000:
         raise ValueError("more than 1000 rules")
     host, path = url_parts(F.col(url_col).cast("string"))
-    rows = durable(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")))
-    blocked = durable(host_reputation(rows, outcomes, z).where(F.col("bound") > max_bad).select(F.col("host").alias("bad_host")))
+    rows = durable(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")), files_for(pages.count(), 100_000, 24))
+    blocked = durable(host_reputation(rows, outcomes, z).where(F.col("bound") > max_bad).select(F.col("host").alias("bad_host")), 24)
     small = blocked.count() <= BROADCAST_ROWS
     method = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
     return (
