@@ -70,3 +70,26 @@ def test_empty_tables(spark):
     assert U.judge_urls(pages(spark, []), spark.createDataFrame([], OUT), URL_RULES).collect() == []
     with pytest.raises(ValueError):
         U.judge_urls(pages(spark, []), spark.createDataFrame([], OUT), URL_RULES * 300)
+
+
+def test_two_label_suffixes_addresses_and_ports(spark):
+    hosts = ["a.shop.co.uk", "shop.co.uk:8080", "co.uk", "www.x.github.io", "10.0.0.1", "10.0.0.1:80", "[::1]", "x.y.org", "localhost", ""]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in rows.select(*U.split_host(rows["host"])).collect()]
+    assert got == [("shop.co.uk", "co.uk"), ("shop.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x.github.io", "github.io"), ("10.0.0.1", "ip"), ("10.0.0.1", "ip"), ("[::1]", "ip"), ("y.org", "org"), ("localhost", "localhost"), ("", "")]
+
+
+def test_owners_under_one_suffix_do_not_share_a_domain(spark):
+    urls, bad = [], []
+    for host, n, k in [("evil.co.uk", 60, 58), ("worse.co.uk", 60, 57), ("good.co.uk", 60, 1), ("fine.co.uk", 60, 0), ("new.good.co.uk", 1, 0)]:
+        for j in range(n):
+            bad.append((len(urls), j < k))
+            urls.append(f"http://{host}/p{j}")
+    verdict = {r.host: r.verdict for r in U.judge_urls(pages(spark, urls), spark.createDataFrame(bad, OUT)).collect()}
+    assert verdict == {"evil.co.uk": "block", "worse.co.uk": "block", "good.co.uk": "allow", "fine.co.uk": "allow", "new.good.co.uk": "allow"}
+
+
+def test_repeated_and_null_pages(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://a.com/y"), (None, None)], "page_id long, url string")
+    got = U.judge_urls(rows, spark.createDataFrame([(1, True), (None, True)], OUT)).collect()
+    assert sorted((r.page_id or -1, r.host) for r in got) == [(-1, ""), (-1, "a.com"), (1, "a.com"), (1, "a.com")]
