@@ -83,14 +83,43 @@ class TaskState(StatefulProcessor):
         pass
 
 
-def task_states(events: DataFrame) -> DataFrame:
-    """(user_id, status, attempts, updated_us) after each micro-batch in which a task changed."""
+class TimedTaskState(TaskState):
+    """The registry with a processing-time timer: a task that stays IN_FLIGHT for `timeout_ms` becomes TIMEOUT."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for out in super().handleInputRows(key, rows, timerValues):
+            if out["status"].iloc[0] == "IN_FLIGHT":
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, attempts, _ = self.state.get() if self.state.exists() else (None, 0, 0)
+        if status == "IN_FLIGHT":
+            now = int(timerValues.getCurrentProcessingTimeInMs()) * 1000
+            self.state.update(("TIMEOUT", int(attempts), now))
+            yield pd.DataFrame({"user_id": [key[0]], "status": ["TIMEOUT"], "attempts": [int(attempts)], "updated_us": [now]})
+
+
+def task_states(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """(user_id, status, attempts, updated_us) after each micro-batch in which a task changed; with `timeout_ms` (1,800,000 is the usual half hour) also
+    when a task has been in flight for so long. Such a stream has always another batch to run: start it with a processing-time trigger, not with
+    `availableNow`."""
     mapping = F.create_map(*[F.lit(v) for item in STATUS_OF_EVENT.items() for v in item])
     changes = events.where(F.col("event_type").isin(*STATUS_OF_EVENT)).select(
         "user_id", "event_id", mapping[F.col("event_type")].alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
     )
     return changes.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=TaskState(), outputStructType="user_id long, status string, attempts long, updated_us long", outputMode="Append", timeMode="None"
+        statefulProcessor=TimedTaskState(timeout_ms) if timeout_ms else TaskState(),
+        outputStructType="user_id long, status string, attempts long, updated_us long",
+        outputMode="Append",
+        timeMode="ProcessingTime" if timeout_ms else "None",
     )
 
 
@@ -103,14 +132,47 @@ def correlated(requests: DataFrame, replies: DataFrame, key: str, wait: str = "2
     return q.join(r, within, "leftOuter")
 
 
-def work_queue(messages: DataFrame, process: Callable[[DataFrame], DataFrame], paused: Callable[[SparkSession], DataFrame], out: str, quarantine: str, key: str) -> None:
-    """A worker: each micro-batch leaves paused collections for later (they are written to `quarantine` with a reason), runs
-    the stage on the rest and appends its rows to `out`."""
+def work_queue(
+    messages: DataFrame,
+    process: Callable[[DataFrame], DataFrame],
+    paused: Callable[[SparkSession], DataFrame],
+    out: str,
+    quarantine: str,
+    key: str,
+    pauses: str | None = None,
+    checkpoint: str | None = None,
+) -> None:
+    """A worker: each micro-batch leaves the messages of paused collections for later (they are written to `quarantine` with a reason), runs the
+    stage on the rest and appends its rows to `out`.
+
+    With `pauses`, a batch whose stage fails is put back as a whole (into `quarantine`, reason `failed`), a pause of each of its collections (key, reason)
+    is appended there, and the worker stops; without, the failure is raised. `resumable` gives what may be taken up again. A
+    `checkpoint` folder lets the next worker go on where this one ended."""
+    stopped: list[str] = []
+
+    def put_back(rows: DataFrame, reason: str) -> None:
+        rows.withColumn("reason", F.lit(reason)).write.mode("append").parquet(quarantine)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         gate = paused(df.sparkSession).select(key).distinct()
-        process(df.join(gate, key, "left_anti")).write.mode("append").parquet(out)
-        df.join(gate, key, "left_semi").withColumn("reason", F.lit("paused")).write.mode("append").parquet(quarantine)
-
-    at = work_folder(messages.sparkSession)
-    messages.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        free = df.join(gate, key, "left_anti")
+        put_back(df.join(gate, key, "left_semi"), "paused")
+        if stopped:
+            put_back(free, "failed")
+            return
+        try:
+            process(free).write.mode("append").parquet(out)
+        except Exception as failed:
+            if pauses is None:
+                raise
+            stopped.append(str(failed))
+            put_back(free, "failed")
+            free.select(key).distinct().withColumn("reason", F.lit(str(failed)[:500])).write.mode("append").parquet(pauses)
+
+    at = checkpoint or f"{work_folder(messages.sparkSession)}/checkpoint"
+    messages.writeStream.foreachBatch(batch).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+
+def resumable(held: DataFrame, paused: DataFrame, key: str) -> DataFrame:
+    """Messages that were put back and whose collections are no longer paused, as they came."""
+    return held.join(paused.select(key).distinct(), key, "left_anti").drop("reason")

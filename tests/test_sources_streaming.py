@@ -1,8 +1,11 @@
+import datetime as dt
 import io
 import json
+import time
 import wave
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.sources import files, queue
@@ -90,6 +93,43 @@ def test_worker_leaves_paused_collections(spark, tmp_path):
     assert [(r.n, r.reason) for r in spark.read.parquet(str(tmp_path / "held")).collect()] == [(2, "paused")]
 
 
+def test_a_failing_worker_puts_back_pauses_and_stops(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    spark.createDataFrame([(1, "a"), (2, "b")], "n int, k string").write.parquet(at("in"))
+    stream = S.read_stream(spark, at("in"))
+    nobody = lambda s: s.createDataFrame([], "k string")
+    broken = lambda df: df.withColumn("n", F.when(F.col("k") == "b", F.raise_error(F.lit("model is down")).cast("int")).otherwise(F.col("n")))
+    S.work_queue(stream, broken, nobody, at("out"), at("held"), "k", at("pauses"), at("mark"))
+    held, pauses = spark.read.parquet(at("held")), spark.read.parquet(at("pauses"))
+    assert sorted((r.n, r.k, r.reason) for r in held.collect()) == [(1, "a", "failed"), (2, "b", "failed")]
+    assert {r.k for r in pauses.collect()} == {"a", "b"} and all("model is down" in r.reason for r in pauses.collect())
+    assert S.resumable(held, pauses, "k").count() == 0
+    assert [(r.n, r.k) for r in S.resumable(held, pauses.where("k <> 'a'"), "k").collect()] == [(1, "a")]
+    # the next worker goes on after what this one has read
+    S.work_queue(stream, lambda df: df, nobody, at("out"), at("held"), "k", at("pauses"), at("mark"))
+    assert spark.read.parquet(at("held")).count() == 2
+    with pytest.raises(Exception, match="model is down"):
+        S.work_queue(stream, broken, nobody, at("out2"), at("held2"), "k")
+
+
+def test_tasks_in_flight_time_out(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
+    row = lambda e, u, t: (e, u, t, dt.datetime(2026, 1, 1, 0, 0, e))
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    spark.createDataFrame([row(1, 1, "click"), row(2, 2, "purchase")], schema).coalesce(1).write.parquet(at("in"))
+    states = S.task_states(spark.readStream.schema(schema).parquet(at("in")), 1)
+    q = states.writeStream.format("parquet").option("checkpointLocation", at("mark")).trigger(processingTime="0 seconds").start(at("out"))
+    try:  # such a stream has always another batch to run, as timers may be due
+        got, end = [], time.monotonic() + 45
+        while len(got) < 3 and time.monotonic() < end:
+            time.sleep(1)
+            got = sorted((r.user_id, r.status) for r in spark.read.schema(states.schema).parquet(at("out")).collect()) if q.lastProgress else []
+    finally:
+        q.stop()
+    assert got == [(1, "IN_FLIGHT"), (1, "TIMEOUT"), (2, "COMPLETED")]
+
+
 def test_stage_outputs_of_the_entry(spark):
     import __spark_entry__ as e
 
