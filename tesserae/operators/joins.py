@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import base_id, with_suffix
+from .ordered import numbered
 
 
 def left_with_defaults(left: DataFrame, right: DataFrame, left_key: str, right_key: str, defaults: Mapping[str, object]) -> DataFrame:
@@ -101,9 +102,8 @@ def range_join(left: DataFrame, right: DataFrame, low: str, high: str, point: st
 
 
 def positional_zip(left: DataFrame, left_order: Sequence[str], right: DataFrame, right_order: Sequence[str]) -> DataFrame:
-    """The i-th row of left with the i-th row of right, up to the shorter. For dimension tables: numbering is one sort."""
-    number = lambda order: F.row_number().over(Window.orderBy(*order))
-    return left.withColumn("__i", number(left_order)).join(right.withColumn("__i", number(right_order)), "__i").drop("__i")
+    """The i-th row of left with the i-th row of right, up to the shorter, by the order columns ascending."""
+    return numbered(left, [], left_order, "__i").join(numbered(right, [], right_order, "__i"), "__i").drop("__i")
 
 
 def harmonize_ids(units: DataFrame, unit_id: str, requests: DataFrame, request_id: str, order: str, out: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -31,6 +32,65 @@ def _window(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+#: Rows that one task numbers by sorting them.
+ROWS_PER_BUCKET = 8192
+
+
+def _as_number(df: DataFrame, name: str) -> Column:
+    """A double that never falls as the column rises: numbers and times as they are, strings by their first six bytes."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, K.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, K.DateType):
+        return F.unix_date(name).cast("double")
+    if isinstance(kind, K.TimestampNTZType):  # to the second; a cast would pass through the session's time zone
+        return F.unix_date(F.col(name).cast("date")) * 86400.0 + F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
+    if isinstance(kind, K.TimestampType):
+        return F.unix_micros(name).cast("double")
+    return F.col(name).cast("double")
+
+
+def _key(keys: Sequence[str]) -> Column:
+    """The keys as one value that is never null, so that null keys meet in a plain equi-join."""
+    return F.struct(*keys) if keys else F.lit(0)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds each row's position (long, from 1) within its keys by `order` (columns, ascending, nulls first; null keys are a key).
+
+    A key may hold any share of the rows: the range of the first order column is cut into equal buckets, a bucket's rows are
+    sorted in a task of their own, and the buckets' counts are added up apart. Values of that column that very many rows share
+    stay together. Positions of rows that are equal in `order` are arbitrary among them.
+    """
+    x = _as_number(df, order[0])
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    rows, low, high = df.agg(F.count(F.lit(1)), F.min(finite), F.max(finite)).first()
+    n = max(1, -(-rows // rows_per_bucket))
+    width = ((high - low) / n if low is not None else 0) or 1.0
+    at = F.floor(F.greatest(F.least((x - F.lit(low or 0.0)) / F.lit(width), F.lit(float(n - 1))), F.lit(0.0)))
+    b = df.withColumn("__bucket", F.when(x.isNull(), -1).otherwise(at).cast("long")).withColumn("__key", _key(keys))
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = b.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select("__key", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = b.withColumn("__inner", F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy(*order)))
+    return inside.join(starts, ["__key", "__bucket"]).select(*df.columns, (F.col("__start") + F.col("__inner")).alias(out))
+
+
+def quantile_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int, out: str) -> DataFrame:
+    """Adds the number (long, from 1) of the row's part among `parts` parts of its keys, equal but for one row, the larger ones first."""
+    placed = numbered(df, keys, order, "__at").withColumn("__key", _key(keys))
+    sizes = df.groupBy(_key(keys).alias("__key")).agg(F.count(F.lit(1)).alias("__size"))
+    q, r, at = F.floor(F.col("__size") / parts), F.col("__size") % parts, F.col("__at")
+    part = F.when(at <= r * (q + 1), F.ceil(at / (q + 1))).otherwise(r + F.ceil((at - r * (q + 1)) / F.greatest(q, F.lit(1))))
+    return placed.join(sizes, "__key").select(*df.columns, part.cast("long").alias(out))
+
+
+def dense_ranked(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds the rank (long, from 1, nulls first) of the row's value among the distinct values of its keys, which are found before anything is sorted."""
+    ranks = numbered(df.select(*keys, value).distinct(), keys, [value], out).select(_key([*keys, value]).alias("__key"), out)
+    return df.withColumn("__key", _key([*keys, value])).join(ranks, "__key").select(*df.columns, out)
+
+
 def running_before(value: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
     """Sum of the value over all earlier rows of the key; 0 for the first."""
     return F.coalesce(F.sum(value).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

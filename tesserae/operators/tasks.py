@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 #: Delays before each retry in seconds.
 RETRY_SECONDS = (60, 120, 180, 300, 600)
 ZOMBIE_MINUTES = 30
@@ -35,9 +37,14 @@ def with_readiness(tasks: DataFrame, now: Column) -> DataFrame:
 
 
 def queue_order(rows: DataFrame, queue: str, head: str, seq: str) -> DataFrame:
-    """rows with position: those pushed to the head first, the latest of them first, then the others in order."""
-    w = Window.partitionBy(queue).orderBy(F.desc(head), F.when(F.col(head), -F.col(seq)).otherwise(F.col(seq)))
-    return rows.withColumn("position", F.row_number().over(w))
+    """rows with position (long): those pushed to the head first, the latest of them first, then the others in order. One queue may hold
+    all rows. A null head counts as not pushed."""
+    pushed = F.coalesce(F.col(head), F.lit(False))
+    lane = rows.withColumn("__tail", ~pushed).withColumn("__seq", F.when(pushed, -F.col(seq)).otherwise(F.col(seq)))
+    placed = numbered(lane, [queue, "__tail"], ["__seq"], "__position").withColumn("__key", F.struct(queue))
+    ahead = rows.groupBy(F.struct(queue).alias("__key")).agg(F.count_if(pushed).alias("__ahead"))
+    at = F.col("__position") + F.when(F.col("__tail"), F.col("__ahead")).otherwise(0)
+    return placed.join(ahead, "__key").select(*rows.columns, at.alias("position"))
 
 
 def pause_gate(messages: DataFrame, paused: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -255,9 +254,6 @@ def numbered_first_occurrence(spark, sf_dir):
 
 @query("ranked_within_window", "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS quartile, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS priority_rank FROM orders")
 def ranked_within_window(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select(
-        "o_orderkey",
-        F.ntile(4).over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice", "o_orderkey")).cast("bigint").alias("quartile"),
-        F.dense_rank().over(Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")).cast("bigint").alias("priority_rank"),
-    )
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    parted = O.quantile_groups(o, ["o_orderstatus"], ["o_totalprice", "o_orderkey"], 4, "quartile")
+    return O.dense_ranked(parted, ["o_orderstatus"], "o_orderpriority", "priority_rank").select("o_orderkey", "quartile", "priority_rank")

@@ -69,8 +69,8 @@ def marker_sessions(spark, sf_dir):
 
 @query("resequence_ids", "SELECT doc_id, printf('%03d', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS number FROM documents")
 def resequence_ids(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.zero_pad(n).alias("number"))
+    got = O.numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "n")
+    return got.select("doc_id", X.zero_pad(F.col("n")).alias("number"))
 
 
 @query("arc_tags", """WITH a AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS intensity FROM conversations)

@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.model_call import call_model, stub_client
@@ -139,6 +140,27 @@ def test_signal_metrics_against_numpy(spark):
     assert np.allclose(signal.frame_rms(np.ones(4096))[3:5], 1.0)
 
 
+def test_audio_features_of_a_tone_and_of_noise(spark):
+    rate, rng = 22_050, np.random.default_rng(2)
+    tone, noise = np.sin(2 * np.pi * 440 * np.arange(rate) / rate), rng.normal(0, 0.3, rate)
+    clicks = np.where(np.arange(rate) % 5000 < 20, 0.9, 0.0)
+    df = spark.createDataFrame([(n, x) for n, x in [("tone", tone.tolist()), ("noise", noise.tolist()), ("clicks", clicks.tolist()), ("silence", [0.0] * 3000), ("empty", []), ("none", None)]], "n string, x array<double>")
+    got = {r.n: r.s for r in df.select("n", signal.audio_features(F.col("x"), rate).alias("s")).collect()}
+    assert got["tone"].pitch_mean == pytest.approx(440, rel=0.01) and got["tone"].voiced_ratio > 0.9
+    assert got["tone"].centroid == pytest.approx(440, rel=0.2) and got["tone"].zero_crossings == pytest.approx(2 * 440 / rate, rel=0.1)
+    assert got["noise"].voiced_ratio < 0.1 and got["noise"].rolloff > 8000 and len(got["noise"].mfcc) == 13
+    assert got["clicks"].onset_max > 5 * got["clicks"].onset_mean and got["tone"].chroma_variance < got["noise"].chroma_variance
+    assert got["silence"].silence_ratio == 1 and got["silence"].pitch_mean == 0 and got["silence"].centroid == 0
+    assert got["empty"].mfcc is None and got["none"].centroid is None
+
+
+def test_voiced_intervals_end_with_the_signal(spark):
+    x = np.concatenate([np.ones(4096), np.zeros(8192), np.ones(1000)]).tolist()
+    df = spark.createDataFrame([(0, x), (1, [0.0] * 100), (2, []), (3, None)], "i int, x array<double>")
+    got = {r.i: [tuple(v) for v in r.v] for r in df.select("i", signal.voiced_intervals(F.col("x")).alias("v")).collect()}
+    assert len(got[0]) == 2 and got[0][-1][1] == len(x) and got[1] == [(0, 100)] and got[2] == got[3] == []
+
+
 def test_ducking_multiplies_overlaps(spark):
     s = spark.createDataFrame([(1, i, 1.0) for i in range(100)], "g int, sample_idx int, value double")
     ranges = [(1, 10, 60, -6.0, 5), (1, 40, 90, -12.0, 5)]
@@ -161,6 +183,23 @@ def test_task_states(spark):
     assert {r.task: (r.status, r.attempts, r.ready) for r in got.collect()} == {"a": ("TIMEOUT", 1, True), "b": ("COMPLETED", 0, False), "c": ("IN_FLIGHT", 0, False)}
 
 
+@pytest.mark.parametrize("kind", ["int", "double", "string", "date", "timestamp_ntz"])
+def test_numbering_cuts_a_hot_key_into_buckets(spark, kind):
+    rng = np.random.default_rng(3)
+    day = lambda v: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(v) * 977)
+    make = {"int": int, "double": lambda v: float("inf") if v > 990 else float("nan") if v > 980 else float(v), "string": lambda v: f"n{v:05d}", "date": lambda v: day(v).date(), "timestamp_ntz": day}[kind]
+    keys = [None if v < 0.2 else "hot" if v < 0.9 else "b" for v in rng.random(3000)]
+    data = [(k, None if v < 5 else make(v), i) for i, (k, v) in enumerate(zip(keys, rng.integers(0, 1000, 3000), strict=True))]
+    df = spark.createDataFrame(data, f"k string, v {kind}, i int")
+    w = Window.partitionBy("k").orderBy("v", "i")
+    want = rows(df.select("k", "i", F.row_number().over(w), F.ntile(7).over(w), F.dense_rank().over(Window.partitionBy("k").orderBy("v"))))
+    got = ordered.numbered(df, ["k"], ["v", "i"], "n", rows_per_bucket=50)
+    got = ordered.dense_ranked(ordered.quantile_groups(got, ["k"], ["v", "i"], 7, "q"), ["k"], "v", "d")
+    assert rows(got.select("k", "i", "n", "q", "d")) == want
+    assert ordered.numbered(df.limit(0), ["k"], ["v"], "n").count() == 0
+    assert sorted(r.n for r in ordered.numbered(df, [], ["v", "i"], "n", rows_per_bucket=50).collect()) == list(range(1, 3001))
+
+
 def test_queue_order_and_replay(spark):
     q = spark.createDataFrame([("q", False, 1), ("q", False, 2), ("q", True, 3), ("q", True, 4)], "queue string, head boolean, seq int")
     assert [r.seq for r in tasks.queue_order(q, "queue", "head", "seq").orderBy("position").collect()] == [4, 3, 1, 2]
