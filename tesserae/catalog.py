@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from .plans import reads, relational, rules, signals, tasks, temporal, textual  # noqa: F401
+    from .plans import reads, relational, rules, segments, signals, tasks, temporal, textual  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

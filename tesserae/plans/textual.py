@@ -12,43 +12,6 @@ from ..operators import structure
 from ..session import table
 
 
-@query("segment_documents")
-def segment_documents(spark, sf_dir):
-    return T.segment(table(spark, sf_dir, "documents"), ["doc_id"], least=1500, most=3500, overlap=500).withColumn("segment_md5", F.md5(F.col("segment_text").cast("binary"))).drop("segment_text")
-
-
-@query("segment_documents_full_size")
-def segment_documents_full_size(spark, sf_dir):
-    got = T.segment(table(spark, sf_dir, "documents"), ["doc_id"])
-    return got.withColumn("segment_md5", F.md5(F.col("segment_text").cast("binary"))).drop("segment_text")
-
-
-@query("subsegment_documents")
-def subsegment_documents(spark, sf_dir):
-    return T.subsegment(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("subsegment_md5", F.md5(F.col("subsegment_text").cast("binary"))).drop("subsegment_text")
-
-
-@query("segment_tree")
-def segment_tree(spark, sf_dir):
-    """Documents to segments to subsegments, with hierarchical labels."""
-    segments = T.segment(table(spark, sf_dir, "documents"), ["doc_id"], exact=False)
-    pieces = T.subsegment(segments, ["doc_id", "segment_index"], "segment_text")
-    label = F.concat(F.lit("chunk-"), X.zero_pad(F.col("segment_index")), F.lit("-micro-"), X.zero_pad(F.col("subsegment_index")))
-    return pieces.select("doc_id", label.alias("label"), "word_count")
-
-
-@query("segment_stats")
-def segment_stats(spark, sf_dir):
-    got = T.segment(table(spark, sf_dir, "documents"), ["doc_id"], least=1500, most=3500, overlap=500)
-    return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segments"), F.sum("word_count").alias("words"), F.max("word_count").alias("most_words"))
-
-
-@query("size_blocks")
-def size_blocks(spark, sf_dir):
-    got = T.blocks(table(spark, sf_dir, "documents"), ["doc_id"], limit=5000, overlap=200)
-    return got.select("doc_id", "block_index", F.length("block_text").alias("block_chars"))
-
-
 @query(
     "clean_lines",
     """SELECT doc_id, md5(left(array_to_string(list_filter(list_transform(string_split(replace(text, chr(12), ''), chr(10)),
@@ -233,7 +196,11 @@ def edge_headings(spark, sf_dir):
     return first.join(last, "source")
 
 
-@query("upload_status")
+@query(
+    "upload_status",
+    r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<![^>]*>', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+       SELECT page_id, CASE WHEN regexp_matches(t, '\S') THEN 'upload_complete' ELSE 'error' END AS status FROM t""",
+)
 def upload_status(spark, sf_dir):
     """Pages as uploads: extracted text, or an error with its status."""
     got = table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("t"))
