@@ -10,8 +10,9 @@ keeps all its terms; a text without terms gets `=` and the MD5 of the text inste
 subsets that agree among those that are filled on either side (at least 3 are counted); 0 against a fingerprint without
 terms.
 
-The lexicon is sent to all tasks as a set of 64-bit term hashes. Its size is bounded: a term inside the band is in at least
-N * exp(-idf_high) documents, so there are at most exp(idf_high) * (mean distinct terms a document) terms, whatever N.
+The lexicon has a bounded size: a term inside the band is in at least N * exp(-idf_high) documents, so there are at most
+exp(idf_high) * (mean distinct terms a document) terms, whatever N. Up to LITERALS terms (counted) go to all tasks as a set of 64-bit hashes;
+beyond that, as for tables of books, it stays a table that the terms of the texts are joined with. Both give the same fingerprints.
 
 Null text counts as empty. Repeated rows count as documents of their own. No documents: an empty lexicon.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import durable, files_for, row_files
 
 REPLICAS, SIZES = 10, (1, 2, 3, 4, 5, 6, 7, 8, 9)
+#: A lexicon of up to so many terms is sent to the tasks.
+LITERALS = 200_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -34,12 +37,14 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", idf_low: float = 3.0, idf_high: float = 5.3) -> list[int]:
-    """Term hashes whose idf = ln(documents / documents with the term) lies inside [idf_low, idf_high]."""
+def lexicon(docs: DataFrame, text_col: str = "text", idf_low: float = 3.0, idf_high: float = 5.3, literals: int = LITERALS) -> list[int] | DataFrame:
+    """Term hashes whose idf = ln(documents / documents with the term) lies inside [idf_low, idf_high]: a list, or a table (term)
+    of more than `literals` terms."""
     n = docs.count()
     counts = docs.select(F.explode(term_hashes(F.col(text_col))).alias("term")).groupBy("term").count()
     band = counts.where((F.col("count") >= n * math.exp(-idf_high)) & (F.col("count") <= n * math.exp(-idf_low)))
-    return [r[0] for r in band.select("term").collect()]
+    band = durable(band.select("term"), files_for(n))
+    return band if band.count() > literals else [r[0] for r in band.collect()]
 
 
 def _short(h: Column) -> Column:
@@ -86,16 +91,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(rough).cast("double")
 
 
-def with_fingerprints(rows: DataFrame, texts: dict[str, str], lex: list[int]) -> DataFrame:
+def _joined_terms(rows: DataFrame, lex: DataFrame) -> DataFrame:
+    """rows, with the terms that `kept_terms` keeps in __terms in place of __hashes, by a join on the terms. A term inside the band is in at most a
+    share exp(-idf_low) of the texts; what is gathered again are the terms of a single row."""
+    rows = durable(rows.withColumn("__row", F.monotonically_increasing_id()))
+    terms = rows.select("__row", F.posexplode("__hashes").alias("__text", "__h")).select("__row", "__text", F.explode("__h").alias("term"))
+    kept = terms.join(lex, "term").groupBy("__row").agg(F.collect_list(F.struct("__text", "term")).alias("__kept"))
+    kept = rows.join(kept.withColumnRenamed("__row", "__of"), F.col("__row") == F.col("__of"), "left")
+
+    def of_text(h: Column, k: Column) -> Column:
+        mine = F.transform(F.filter("__kept", lambda t: t["__text"] == k), lambda t: t["term"])
+        return F.sort_array(F.when(F.size(F.coalesce(mine, F.array().cast("array<bigint>"))) > 0, mine).otherwise(h))
+
+    return kept.withColumn("__terms", F.transform("__hashes", of_text)).drop("__hashes", "__kept", "__row", "__of")
+
+
+def with_fingerprints(rows: DataFrame, texts: dict[str, str], lex: list[int] | DataFrame) -> DataFrame:
     """rows and a fingerprint column for each text column. texts: text column -> name of its fingerprint."""
     plain = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts])
-    rows = rows.withColumn("__hashes", F.transform(plain, term_hashes)).withColumn("__terms", kept_terms("__hashes", lex)).drop("__hashes")
+    rows = rows.withColumn("__hashes", F.transform(plain, term_hashes))
+    rows = rows.withColumn("__terms", kept_terms("__hashes", lex)).drop("__hashes") if isinstance(lex, list) else _joined_terms(rows, lex)
     for k, (c, name) in enumerate(texts.items()):
         rows = rows.withColumn(name, fingerprint_of(F.col("__terms")[k], F.coalesce(F.col(c).cast("string"), F.lit(""))))
     return rows.drop("__terms")
 
 
-def fingerprints(docs: DataFrame, lex: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, lex: list[int] | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) for each row."""
     return with_fingerprints(docs.select(F.col(id_col), F.col(text_col).alias("__text")), {"__text": "fingerprint"}, lex).select(id_col, "fingerprint")
 
@@ -127,7 +148,7 @@ def ring(rows: DataFrame, id_col: str, carry: str) -> DataFrame:
     )
 
 
-def edit_likeness(docs: DataFrame, lex: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edit_likeness(docs: DataFrame, lex: list[int] | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): each text against an edited
     copy, whose last quarter is the start of the next document, and against the next document.
 

@@ -92,6 +92,15 @@ def test_null_and_repeated_ids(spark):
     assert sum(r.near_next == 1.0 for r in got if r.doc_id == long[2][0]) >= 3
 
 
+def test_a_large_lexicon_is_joined(spark):
+    rows = [*corpus(), (5, "é\U0001f600x"), (7, ""), (8, None), *corpus(3), (None, "lost one")]
+    docs = frame(spark, rows)
+    sent, joined = I.lexicon(docs, idf_low=0.5), I.lexicon(docs, idf_low=0.5, literals=10)
+    assert isinstance(sent, list) and {r.term for r in joined.collect()} == set(sent)
+    assert Counter(I.edit_likeness(docs, joined).collect()) == Counter(I.edit_likeness(docs, sent).collect())
+    assert Counter(I.fingerprints(docs, joined).collect()) == Counter(I.fingerprints(docs, sent).collect())
+
+
 def brute_fingerprint(text, lex):
     """The fingerprint from its definition: XXH64 of terms, chained through sorted arrays."""
     signed = lambda v: v - (1 << 64) if v >> 63 else v
