@@ -43,7 +43,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", idf_low: float = 3.0, idf_h
     n = docs.count()
     counts = docs.select(F.explode(term_hashes(F.col(text_col))).alias("term")).groupBy("term").count()
     band = counts.where((F.col("count") >= n * math.exp(-idf_high)) & (F.col("count") <= n * math.exp(-idf_low)))
-    band = durable(band.select("term"), files_for(n))
+    band = durable(band.select("term").hint("rebalance"))  # a small table in one file
     return band if band.count() > literals else [r[0] for r in band.collect()]
 
 
