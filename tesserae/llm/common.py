@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and Python spelling of "a run of anything but ASCII white space".
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Bytes of an Arrow batch of texts. With Spark's 64 MB a task's texts are one batch, which the JVM and Python hold several times each.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +44,30 @@ def durable(df: DataFrame, files: int | None = None) -> DataFrame:
     return table
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows that hold texts: in batches that end with the row that passes BATCH_BYTES, and with
+    the memory that a task has freed given back, as the worker lives on. The session's batch size, which Spark reads when the
+    result is run, is lowered for that and stays so; a lower one is kept."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the worker's last task held to its end
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Return this process's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc
+        trim(0)
+
+
 def files_for(rows: int, each: int = 250_000, least: int = 8) -> int:
     """The most files for a table of so many rows, of which `each` are worth a file and a task: narrow ones by default, fewer
     where a row takes work (`row_files`)."""

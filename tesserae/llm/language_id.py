@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 SIZE = 1 << 13
 _PIECE = 1 << 18
 _CODE = re.compile(r"[0-9@]")
@@ -113,7 +115,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "gram", "n"])
 
-    got = rows.where(chance < keep).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    got = map_texts(rows.where(chance < keep).select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = got.toArrow()
     counts: dict[str, np.ndarray] = {}
     for lang in table.column("lang").unique().to_pylist():
@@ -135,9 +137,8 @@ def identify(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, lang_pred string, score double, langs array<string>"
-    ).withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_texts(texts, run, f"id {kind}, lang_pred string, score double, langs array<string>").withColumnRenamed("id", id_col)
 
 
 def without_codes(text: str | None) -> str | None:
@@ -165,4 +166,4 @@ def keep_identified(
         for batch in batches:
             yield batch.filter(pa.array([wanted(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

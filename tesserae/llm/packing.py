@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, grouped_prefix, row_files
+from .common import durable, grouped_prefix, map_texts, row_files
 
 #: Fixed value: the pre-tokenisation of byte-level BPE files.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -193,7 +193,7 @@ def tokenize_pieces(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def pack_documents(

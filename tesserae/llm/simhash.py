@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, files_for, release, row_files
+from .common import durable, files_for, map_texts, release, row_files
 from .components import connected_components
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if fps:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
 
 
 def block_masks(n: int, radius: int, fill: float = 64) -> list[int]:
@@ -460,7 +460,7 @@ def _merges(texts: DataFrame, placed: DataFrame, shingle: int, bits: int, test:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = texts.join(placed, "id").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "a long, b long")
+    return map_texts(rows, run, "a long, b long")
 
 
 #: Fixed odd multipliers, of which each gives one min-hash.
@@ -495,7 +495,7 @@ def _profiles(texts: DataFrame, shingle: int, bits: int, bands: int, rows: int)
                 lists = lambda v: pa.array(v, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1), pa.array(d2), pa.array(n, pa.int64()), lists(fp), lists(keys)], names=["id", "d1", "d2", "n", "fp", "keys"])
 
-    return texts.mapInArrow(run, "id long, d1 long, d2 long, n long, fp array<long>, keys array<long>")
+    return map_texts(texts, run, "id long, d1 long, d2 long, n long, fp array<long>, keys array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, files_for, row_files
+from .common import durable, files_for, map_texts, row_files
 
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -178,7 +178,7 @@ def learn(
                 [pa.array(list(seen)), pa.array([v[0] for v in seen.values()]), pa.array([v[1] for v in seen.values()])], names=["word", "clean", "toxic"]
             )
 
-    counts = durable(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(*[(F.sum(c) / VOTE).alias(c) for c in ("clean", "toxic")]), files_for(sample * 100))
+    counts = durable(map_texts(rows, count, "word string, clean long, toxic long").groupBy("word").agg(*[(F.sum(c) / VOTE).alias(c) for c in ("clean", "toxic")]), files_for(sample * 100))
     base = counts.where("word = ''").first()
     if base is None or not base.clean or not base.toxic:
         return Severity({}, np.empty(0, bool), np.zeros(COMMON), np.empty(0))
@@ -206,7 +206,7 @@ def learn(
                 names=["at", "n", "cues", "words", "toxic", "vote", "same"],
             )
 
-    data = rows.mapInArrow(encode, "at array<int>, n array<int>, cues long, words long, toxic int, vote long, same long").toArrow().to_pylist()
+    data = map_texts(rows, encode, "at array<int>, n array<int>, cues long, words long, toxic int, vote long, same long").toArrow().to_pylist()
     data.sort(key=lambda r: (r["same"], r["toxic"], r["cues"], r["words"], sorted(zip(r["at"], r["n"], strict=True))))  # one order, whatever the tasks'
     x, y, share = np.zeros((len(data), len(top) + COMMON)), np.zeros(len(data), np.int64), np.zeros(len(data))
     vote = np.array([r["vote"] for r in data]) / VOTE
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.expected(t.as_py()) for t in batch.column(1)], pa.float64())], names=["id", "severity"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, severity double")
+    scored = map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, severity double")
     return scored.select(F.col("id").alias(id_col), "severity", (F.col("severity") >= reject_at).alias("toxic"))
 
 
@@ -243,4 +243,4 @@ def keep_clean(docs: DataFrame, model: Severity, text_col: str = "text", reject_
         for batch in batches:
             yield batch.filter(pa.array([model.expected(t.as_py()) < reject_at for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
