@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import base_id, with_suffix
-from .ordered import numbered
+from .ordered import numbered, summed_up_to
 
 
 def left_with_defaults(left: DataFrame, right: DataFrame, left_key: str, right_key: str, defaults: Mapping[str, object]) -> DataFrame:
@@ -101,6 +101,18 @@ def range_join(left: DataFrame, right: DataFrame, low: str, high: str, point: st
     return l.join(r, "__bucket").where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("__bucket")
 
 
+def range_counts(left: DataFrame, keys: Sequence[str], right: DataFrame, low: str, high: str, point: str, out: str) -> DataFrame:
+    """For each of left's keys (null keys are a key) the number of pairs with low <= point <= high, 0 without any, and no pair is formed: points up to
+    high less points below low, looked up in running counts over the distinct values of all three columns. Work grows with the rows, not with the pairs."""
+    valid = F.when(F.col(low) <= F.col(high), 1).otherwise(0)
+    ends = F.array(F.struct(F.col(high).alias("v"), valid.alias("sign")), F.struct(F.col(low).alias("v"), (-valid).alias("sign")))
+    e = left.select(*keys, F.explode(ends).alias("__end")).select(*keys, F.col("__end.v").alias("__v"), F.col("__end.sign").alias("__sign"))
+    values = right.select(F.col(point).alias("__v"), F.lit(1).alias("__n")).unionByName(e.select("__v", F.lit(0).alias("__n"))).where("__v is not null")
+    counts = summed_up_to(values.groupBy("__v").agg(F.sum("__n").alias("__n")), "__v", "__n", "__upto").withColumnRenamed("__v", "__value")
+    points = F.when(F.col("__sign") > 0, F.col("__upto")).when(F.col("__sign") < 0, F.col("__n") - F.col("__upto")).otherwise(0)
+    return e.join(counts, F.col("__v") == F.col("__value"), "left").groupBy(*keys).agg(F.sum(points).alias(out))
+
+
 def positional_zip(left: DataFrame, left_order: Sequence[str], right: DataFrame, right_order: Sequence[str]) -> DataFrame:
     """The i-th row of left with the i-th row of right, up to the shorter, by the order columns ascending."""
     return numbered(left, [], left_order, "__i").join(numbered(right, [], right_order, "__i"), "__i").drop("__i")

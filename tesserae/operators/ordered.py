@@ -34,6 +34,8 @@ def _window(keys: Sequence[str], order: Sequence[str]):
 
 #: Rows that one task numbers by sorting them.
 ROWS_PER_BUCKET = 8192
+#: Quantiles of an order column at which its rows can be cut.
+QUANTILES = 1024
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
@@ -91,6 +93,34 @@ def dense_ranked(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return df.withColumn("__key", _key([*keys, value])).join(ranks, "__key").select(*df.columns, out)
 
 
+def summed_up_to(df: DataFrame, by: str, value: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds the sum of `value` over all rows whose `by` is at most the row's. `by` has to be distinct and not null.
+
+    The rows are cut at quantiles of `by` into buckets of about `rows_per_bucket`, at most QUANTILES of them, whatever the distribution; a bucket is
+    summed in a task of its own, and the buckets' sums are added up apart. The quantiles are approximate, the sums do not depend on them.
+    """
+    x = _as_number(df, by)
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    rows, found = df.agg(F.count(F.lit(1)), F.percentile_approx(finite, [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES)).first()
+    n = min(QUANTILES, max(1, -(-rows // rows_per_bucket)))
+    cuts = sorted({found[i * QUANTILES // n - 1] for i in range(1, n)}) if found else []
+    b = df.withColumn("__bucket", _cuts_up_to(x, cuts))
+    totals = b.groupBy("__bucket").agg(F.sum(value).alias("__total")).withColumn("__all", F.lit(0))
+    before = Window.partitionBy("__all").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
+    inside = b.withColumn("__inner", F.sum(value).over(Window.partitionBy("__bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(starts, "__bucket").select(*df.columns, (F.col("__start") + F.col("__inner")).alias(out))
+
+
+def _cuts_up_to(x: Column, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cuts are at most x, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    at = F.lit(cuts)
+    steps = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.try_element_at(at, n + step) <= x, n + step).otherwise(n))
+
+
 def running_before(value: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
     """Sum of the value over all earlier rows of the key; 0 for the first."""
     return F.coalesce(F.sum(value).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

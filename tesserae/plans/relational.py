@@ -139,10 +139,8 @@ def interval_cover(spark, sf_dir):
 )
 def range_join_buckets(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    pairs = J.range_join(s, c, "low", "high", "c_acctbal", width=100.0)
-    counts = pairs.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("near"))
-    return J.left_with_defaults(s.select("s_suppkey"), counts.withColumnRenamed("s_suppkey", "k"), "s_suppkey", "k", {"near": 0}).select("s_suppkey", "near")
+    c = table(spark, sf_dir, "customer").where("c_custkey is not null").select("c_acctbal")
+    return J.range_counts(s, ["s_suppkey"], c, "low", "high", "c_acctbal", "near")
 
 
 @query("path_exists_semi", "SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")

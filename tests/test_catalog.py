@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import threading
 
 import duckdb
 import pytest
@@ -42,6 +43,36 @@ def test_query(spark, duck, sf_dir, name):
         assert got == sorted(repr(tuple(plain(r[i]) for i in order)) for r in want.fetchall())
 
 
+def near_balances(spark, folder, supplier, customer):
+    supplier.toDF("s_suppkey", "s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    customer.toDF("c_custkey", "c_acctbal").write.parquet(f"{folder}/customer.parquet")
+    return catalog.queries()["range_join_buckets"](spark, str(folder)).select("s_suppkey", "near")
+
+
+def test_range_join_buckets_on_odd_inputs(spark, tmp_path):
+    """Null and repeated keys, null, infinite and NaN balances, balances on the bounds."""
+    nan, inf = float("nan"), float("inf")
+    supplier = [(1, 0.0), (1, 40.0), (2, None), (None, 10.0), (None, 500.0), (3, inf), (4, -inf), (5, nan), (6, 1e6)]
+    customer = [(1, 0.0), (2, -50.0), (3, 50.0), (4, 50.01), (5, None), (None, 1.0), (6, inf), (7, nan), (8, -inf), (9, 90.0), (9, 90.0)]
+    got = near_balances(spark, tmp_path, *[spark.createDataFrame(r, "k long, v double") for r in (supplier, customer)]).collect()
+    c = duckdb.connect()
+    for t in ("supplier", "customer"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, c.sql(catalog.oracle_sql()["range_join_buckets"]).fetchall()))
+
+
+def test_range_join_buckets_does_not_form_pairs(spark, tmp_path):
+    """400,000 suppliers and as many customers, all near each other: 160 billion pairs, on which it is stopped after a minute."""
+    n = 400_000
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = near_balances(spark, tmp_path, *[spark.range(n).selectExpr("id", f"id % {k} / 4D") for k in (50, 70)]).groupBy("near").count().collect()
+    finally:
+        stop.cancel()
+    assert [tuple(r) for r in got] == [(n, n)]
+
+
 def test_names_are_unique():
     with pytest.raises(ValueError):
         catalog.query(next(iter(catalog.queries())))(lambda s, d: None)

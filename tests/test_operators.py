@@ -57,6 +57,33 @@ def test_range_join_equals_nested_loops(spark):
     assert rows(got.select("a", "b")) == sorted((a, b) for a, lo, hi in spans for b, p in points if lo <= p <= hi) or len(rows(got)) == sum(lo <= p <= hi for _, lo, hi in spans for _, p in points)
 
 
+def test_range_counts_equal_nested_loops(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(1)
+    spans = [(int(k), float(a), float(a + w)) for k, a, w in zip(rng.integers(0, 20, 60), rng.integers(-40, 40, 60), rng.integers(-5, 30, 60), strict=True)]
+    spans += [(None, -5.0, 5.0), (None, 0.0, 0.0), (30, None, 1.0), (31, 1.0, None), (32, nan, nan), (33, 5.0, nan), (34, -inf, inf), (35, inf, inf), (36, -0.0, -0.0), (37, 900.0, 901.0)]
+    points = [float(p) for p in rng.integers(-50, 70, 300)] + [0.0, -0.0, nan, nan, inf, -inf, None]
+    rank = lambda v: (1, 0.0) if v != v else (0, v)  # noqa: E731  # NaN is above all numbers and equals itself
+    want = {k: 0 for k, _, _ in spans}
+    for k, lo, hi in spans:
+        want[k] += sum(None not in (lo, hi, p) and rank(lo) <= rank(p) <= rank(hi) for p in points)
+    left, right = spark.createDataFrame(spans, "k int, lo double, hi double"), spark.createDataFrame([(p,) for p in points], "p double")
+    assert rows(joins.range_counts(left, ["k"], right, "lo", "hi", "p", "n")) == sorted(want.items(), key=repr)
+    whole = spark.createDataFrame([(1,), (1,), (4,), (None,)], "p int")  # of another type than the bounds
+    assert rows(joins.range_counts(spark.createDataFrame([(1, 0.5, 1.5), (2, 1.0, 4.0)], "k int, lo double, hi double"), ["k"], whole, "lo", "hi", "p", "n")) == [(1, 2), (2, 3)]
+    assert rows(joins.range_counts(left.limit(0), ["k"], right, "lo", "hi", "p", "n")) == []
+    assert {r.n for r in joins.range_counts(left, ["k"], right.limit(0), "lo", "hi", "p", "n").collect()} == {0}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1, 7, 1000])
+def test_summed_up_to_in_buckets(spark, rows_per_bucket):
+    rng = np.random.default_rng(2)
+    values = sorted({float(v) for v in np.concatenate([rng.uniform(0, 1, 200), rng.lognormal(0, 20, 200)])}) + [float("inf")]
+    data = [(v, int(n)) for v, n in zip(values, rng.integers(-3, 9, len(values)), strict=True)]
+    got = ordered.summed_up_to(spark.createDataFrame(data, "v double, n int").repartition(5), "v", "n", "upto", rows_per_bucket)
+    assert [tuple(r) for r in got.orderBy("v").collect()] == [(v, n, int(s)) for (v, n), s in zip(data, np.cumsum([n for _, n in data]), strict=True)]
+
+
 def test_harmonized_ids(spark):
     units = spark.createDataFrame([("rain",), ("rain_02",), ("wind_01",), ("none",)], "u string")
     req = spark.createDataFrame([(1, "rain"), (2, "wind_03"), (3, "wind_04"), (4, "rain_02")], "o int, r string")
